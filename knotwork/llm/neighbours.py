@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.runtime import staged
+
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 32
 SPARE = 3  # further candidates for which the full vectors decide
@@ -38,7 +40,7 @@ CODED = T.StructType([
 ])
 LISTS = T.StructType([
     T.StructField("x", T.LongType()), T.StructField("ys", T.ArrayType(T.LongType())),
-    T.StructField("cosines", T.ArrayType(T.DoubleType())),
+    T.StructField("cosines", T.ArrayType(T.FloatType())),
 ])
 
 
@@ -74,15 +76,19 @@ def tile_neighbours(
     rows = np.arange(len(ids)) if asks is None else np.flatnonzero(asks)
     cols = np.arange(len(ids)) if given is None else np.flatnonzero(given)
     right, out = near[cols].T.copy(), []
-    for i in range(0, len(rows), rows_at_once):
+    by_id = np.argsort(ids[cols], kind="stable")
+    own = by_id[np.minimum(np.searchsorted(ids[cols], ids[rows], sorter=by_id), max(0, len(cols) - 1))] if len(cols) else rows[:0]
+    mine = ids[cols][own] == ids[rows] if len(cols) else np.zeros(len(rows), bool)
+    for i in range(0, len(rows) if len(cols) else 0, rows_at_once):
         r = rows[i : i + rows_at_once]
         s = near[r] @ right
-        s[ids[r][:, None] == ids[cols][None, :]] = -9.0
-        floor = np.full(len(r), -1.5 if min_cosine is None else min_cosine - slack, dtype=np.float32)
-        if len(cols) > 4 * k and (min_cosine is None or np.count_nonzero(s >= floor[0]) > 4 * k * len(r)):
+        self_at = np.flatnonzero(mine[i : i + rows_at_once])
+        s[self_at, own[i : i + rows_at_once][self_at]] = -9.0
+        hit = s >= np.float32(-1.5 if min_cosine is None else min_cosine - slack)
+        if len(cols) > 4 * k and np.count_nonzero(hit) > 4 * k * len(r):
             kth = np.partition(s, len(cols) - k, axis=1)[:, len(cols) - k]
-            floor = np.maximum(floor, kth - 2 * slack)
-        a, b = np.nonzero(s >= floor[:, None])
+            hit &= s >= (kth - 2 * slack)[:, None]
+        a, b = np.nonzero(hit)
         for j in range(0, len(a), 1 << 18):
             ra, cb = r[a[j : j + (1 << 18)]], cols[b[j : j + (1 << 18)]]
             out.append((ra, cb, np.einsum("ij,ij->i", exact[ra], exact[cb], dtype=np.float64)))
@@ -106,7 +112,7 @@ def _lists(ids: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pd.D
         return pd.DataFrame({"x": [], "ys": [], "cosines": []})
     cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     return pd.DataFrame({
-        "x": ids[a[cut]], "ys": np.split(ids[b], cut[1:]), "cosines": np.split(c, cut[1:]),
+        "x": ids[a[cut]], "ys": np.split(ids[b], cut[1:]), "cosines": np.split(c.astype(np.float32), cut[1:]),
     })
 
 
@@ -119,7 +125,7 @@ def best_k(lists: DataFrame, k: int) -> DataFrame:
     """(x, y, cosine, rank): the k best of the partial lists of every vector, ties by smaller id."""
     pairs = (
         lists.repartition("x").select("x", F.explode(F.arrays_zip("ys", "cosines")).alias("e"))
-        .groupBy("x", F.col("e.ys").alias("y")).agg(F.max("e.cosines").alias("cosine"))
+        .groupBy("x", F.col("e.ys").alias("y")).agg(F.max("e.cosines").cast("double").alias("cosine"))
     )
     w = Window.partitionBy("x").orderBy(F.desc("cosine"), "y")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -153,42 +159,61 @@ def _coded(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "embedding").mapInPandas(code, CODED)
 
 
-def single_rows(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def single_rows(df: DataFrame, k: int, broadcast_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Usable rows without surplus copies, and (x, y, cosine) of the surplus copies.
 
     A vec_id with different vectors keeps the one of the smallest hash. Of the ids with one
     and the same vector only the k + 1 smallest take part in products: the others have the
-    k smallest as their best and are, by the tie rule, in nobody's list. Only id and hash
-    are shuffled; exact repeats of a row are left to the tiles, where they meet.
+    k smallest as their best and are, by the tie rule, in nobody's list. Only ids and hashes
+    are shuffled; exact repeats of a row are left to the tiles, where they meet. The rows to
+    leave out are staged and broadcast if they are at most ``broadcast_rows``, else joined.
     """
-    h = F.concat(F.xxhash64("embedding").cast("string"), F.hash("embedding").cast("string"))
-    ids = df.select("vec_id", h.alias("h")).distinct()
-    ids = ids.withColumn("own", F.min("h").over(Window.partitionBy("vec_id")))
-    kept = ids.where(F.col("h") == F.col("own")).select("vec_id", "h")
-    ranked = kept.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("vec_id")))
+    both = ["g", "h"]
+    df = df.select("*", F.xxhash64("embedding").alias("g"), F.hash("embedding").alias("h"))
+    ids = df.select("vec_id", F.struct(*both).alias("v")).distinct()
+    ids = ids.withColumn("own", F.min("v").over(Window.partitionBy("vec_id")))
+    kept = ids.where(F.col("v") == F.col("own")).select("vec_id", "v")
+    ranked = kept.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")))
     least = ranked.where(F.col("n") <= k + COPIES_KEPT)
-    hot = least.where(F.col("n") == k + COPIES_KEPT).select("h", F.col("vec_id").alias("last"))
-    surplus = kept.join(hot, "h").where(F.col("vec_id") > F.col("last")).select("vec_id", "h")
-    drop = ids.where(F.col("h") != F.col("own")).select("vec_id", "h").unionByName(surplus)
-    rows = df.withColumn("h", h).join(drop, ["vec_id", "h"], "left_anti").drop("h")
-    links = surplus.select(F.col("vec_id").alias("x"), "h").join(
-        least.where(F.col("n") <= k).select("h", F.col("vec_id").alias("y")), "h"
-    )
-    return rows, links.select("x", "y", F.lit(1.0).alias("cosine"))
-
-
-def fit_cells(rows: DataFrame, n_rows: int, dim: int, tables: int, cell_rows: int, seed: int = 7) -> np.ndarray:
-    """Centroids (tables, cells, dim) of spherical k-means over a bounded sample of the rows."""
+    hot = least.where(F.col("n") == k + COPIES_KEPT).select("v", F.col("vec_id").alias("last"))
+    surplus = kept.join(hot, "v").where(F.col("vec_id") > F.col("last")).select("vec_id", "v", F.lit(True).alias("copy"))
+    other = ids.where(F.col("v") != F.col("own")).select("vec_id", "v", F.lit(False).alias("copy"))
+    drop = staged(surplus.unionByName(other).select("vec_id", "v.*", "copy"), "surplus")
+    n_drop = drop.count()
+    left_out = drop.select("vec_id", *both)
+    rows = df.join(F.broadcast(left_out) if n_drop <= broadcast_rows else left_out, ["vec_id", *both], "left_anti")
+    first = least.where(F.col("n") <= k).select("v.*", F.col("vec_id").alias("y"))
+    links = drop.where("copy").select(F.col("vec_id").alias("x"), *both).join(first, both)
+    links = links.select("x", "y", F.lit(1.0).alias("cosine"))
+    if not n_drop:
+        rows, links = df, links.limit(0)
+    return rows.drop(*both), links
+
+
+def nearest_cells(x: np.ndarray, centroids: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` nearest centroids of every row."""
+    s = x @ centroids.T
+    return np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(x), 1))
+
+
+def fit_cells(
+    rows: DataFrame, n_rows: int, dim: int, tables: int, cell_rows: int, probes: int, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids (tables, cells, dim) of spherical k-means over a bounded sample of the rows.
+
+    Also the rows to be expected in every cell, by which large cells are split; the split
+    only sets the size of the tiles, never what they find.
+    """
     n_cells = int(min(MAX_CELLS, max(1, math.ceil(n_rows / cell_rows))))
     want = n_cells * SAMPLE_PER_CELL * 2
     share = min(1.0, 1.2 * want / max(1, n_rows))
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = _coded(picked).orderBy("vec_id").limit(want).toPandas()
     if not len(sample):
-        return np.zeros((tables, 1, dim), dtype=np.float32)
+        return np.zeros((tables, 1, dim), dtype=np.float32), np.zeros(tables)
     _, codes, scales = _unpack(sample)
     m = codes.astype(np.float32) * scales[:, None]
-    rng, out = np.random.default_rng(seed), []
+    rng, out, sizes = np.random.default_rng(seed), [], []
     for _ in range(tables):
         part = m[rng.permutation(len(m))[: max(1, len(m) // 2)]]
         c = part[rng.permutation(len(part))[:n_cells]].copy()
@@ -200,8 +225,10 @@ def fit_cells(rows: DataFrame, n_rows: int, dim: int, tables: int, cell_rows: in
             np.add.at(total, near, part)
             norm = np.linalg.norm(total, axis=1, keepdims=True)
             c = np.where(norm > 0, total / np.maximum(norm, 1e-9), c)
-        out.append(c)
-    return np.stack(out).astype(np.float32)
+        out.append(c.astype(np.float32))
+        near = nearest_cells(m, out[-1], min(probes, n_cells))
+        sizes.append(np.bincount(near.ravel(), minlength=n_cells) * (n_rows / len(m)))
+    return np.stack(out), np.concatenate(sizes)
 
 
 def similar_vectors(
@@ -227,7 +254,7 @@ def similar_vectors(
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dim))
     n_rows = vectors.count()
     rows, links = single_rows(rows, k)
-    cells = fit_cells(rows, n_rows, dim, tables, cell_rows)
+    cells, expected = fit_cells(rows, n_rows, dim, tables, cell_rows, probes)
     shared = spark.sparkContext.broadcast(cells)
     m = min(probes, cells.shape[1])
     schema = T.StructType([*CODED.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
@@ -241,24 +268,17 @@ def similar_vectors(
             x = codes.astype(np.float32) * scales[:, None]
             near = []
             for t in range(len(c)):
-                s = x @ c[t].T
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(x), 1))
-                near.append(top + t * c.shape[1])
+                near.append(nearest_cells(x, c[t], m) + t * c.shape[1])
             yield pd.DataFrame({
                 "vec_id": pdf["vec_id"], "code": [v.tobytes() for v in codes], "scale": scales,
                 "cells": list(np.concatenate(near, axis=1).astype(np.int32)),
             })
 
     placed = rows.mapInPandas(place, schema)
-    # blocks per cell: from counts of all rows, at most tables * MAX_CELLS numbers on the driver
-    sizes = {
-        r["cell"]: r["n"]
-        for r in placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block_rows).collect()
-    }
+    sizes = {int(c): math.ceil(expected[c] / block_rows) for c in np.flatnonzero(expected > block_rows)}
     member = placed.select("vec_id", "code", "scale", F.explode("cells").alias("cell"))
     if sizes:
-        blocks = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(math.ceil(n / block_rows)))])
+        blocks = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(n))])
         n_blocks = F.coalesce(blocks[F.col("cell")], F.lit(1))
         own = F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")
         member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
