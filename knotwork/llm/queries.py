@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import neighbours
+from knotwork.llm import leakage, lookalike, neighbours, packing
 from knotwork.runtime import table
 
 
@@ -25,7 +25,42 @@ def p4_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_queries": p4_queries}
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_windows(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return spans.select("doc_id", "item_id").distinct()
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leakage.without_leaks(docs, leakage.leaked_spans(docs, table(spark, sf_dir, "eval_items")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.consistent_form(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "form")
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_queries": p4_queries,
+    "p6_windows": p6_windows,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_cleaned": p7_cleaned,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
+}
 
 ORACLE = {
     "p4_queries": """
