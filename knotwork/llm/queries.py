@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import leakage, lookalike, neighbours, packing
+from knotwork.llm import leakage, lookalike, names, neighbours, packing
 from knotwork.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_pairs(names.entities(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "nicknames")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.similar_vectors(table(spark, sf_dir, "chunk_vectors"), 5, 0.80)
     return near.select(
@@ -52,6 +56,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_queries": p4_queries,
     "p6_windows": p6_windows,
