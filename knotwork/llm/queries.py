@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import leakage, lookalike, names, neighbours, packing
+from knotwork.llm import leakage, lookalike, names, neighbours, packing, scans
 from knotwork.runtime import table
 
 
@@ -13,6 +13,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_pairs(names.entities(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "nicknames")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cases = scans.repairs(table(spark, sf_dir, "chunks"))
+    return cases.select("chunk_id", "line_no", "kind", "word").distinct()
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_pages(table(spark, sf_dir, "chunks"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.similar_vectors(table(spark, sf_dir, "chunk_vectors"), 5, 0.80)
     return near.select(
@@ -57,6 +66,8 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_pages": p3_pages,
     "p4_found": p4_found,
     "p4_queries": p4_queries,
     "p6_windows": p6_windows,
