@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.runtime import staged
+
 # Letters that look like Latin ones, each line aligned with its Latin twins.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜаеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTYXGQWaesijopcyxhdqwv")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονα", "ABEZHIKMNOPTYXova")
@@ -91,12 +94,37 @@ def alternatives() -> dict[str, list[str]]:
 ALTERNATIVES = alternatives()
 
 
+SCRIPTS = {c: frozenset(script(a[0]) for a in alts) for c, alts in ALTERNATIVES.items()}
+
+
+def lattice(token: str) -> list[list[str] | tuple[str]]:
+    """The spellings of every place of a skeleton token.
+
+    If whole scripts can spell the token, only these: a path that changes script never wins.
+    """
+    common: frozenset[str] | None = None
+    for c in token:
+        own = SCRIPTS.get(c) or frozenset(script(c))
+        common = own if common is None else common & own
+        if not common:
+            return [ALTERNATIVES.get(c, (c,)) for c in token]
+    return [[a for a in ALTERNATIVES[c] if script(a[0]) in common] if c in ALTERNATIVES else (c,) for c in token]
+
+
 def best_spelling(token: str, score: dict[tuple[str, str], float], unseen: float) -> str:
     """Viterbi over the lattice of a skeleton token: fewest script changes, then best bigrams."""
+    places = lattice(token)
+    if all(len(p) == 1 for p in places):
+        return "".join(p[0] for p in places)
     beam = [(0.0, "", " ")]  # cost, spelling, last letter
-    for c in token:
+    for place in places:
+        if len(place) == 1 and len(beam) == 1:
+            (cost, spelt, last), c = beam[0], place[0]
+            turn = SWITCH if last != " " and script(last) != script(c) else 0.0
+            beam = [(cost - score.get((last, c), unseen) + turn, spelt + c, c)]
+            continue
         nxt = []
-        for alt in ALTERNATIVES.get(c, (c,)):
+        for alt in place:
             inner = sum(score.get((a, b), unseen) for a, b in zip(alt, alt[1:], strict=False))
             s = script(alt[0])
             nxt.append(min(
@@ -128,8 +156,19 @@ class Speller:
         return "".join(parts)
 
 
+_SPELLERS: dict[str, Speller] = {}
+
+
+def speller(name: str, score: dict[tuple[str, str], float], unseen: float) -> Speller:
+    """The speller of one run, kept while the worker lives."""
+    if name not in _SPELLERS:
+        _SPELLERS.clear()
+        _SPELLERS[name] = Speller(score, unseen)
+    return _SPELLERS[name]
+
+
 def bigram_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(pair, n): counts of neighbouring letters over all texts; 0 stands for the edge of a token."""
+    """(pair, n): counts of neighbouring letters over all texts as written; 0 stands for the edge of a token."""
     schema = T.StructType([T.StructField("pair", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +177,7 @@ def bigram_counts(texts: DataFrame, column: str) -> DataFrame:
         for pdf in batches:
             for t in pdf[column]:
                 if t:
-                    cp = np.frombuffer((" " + compatible(t) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                    cp = np.frombuffer((" " + t + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
                     i = letter[np.minimum(cp, LETTERS)]
                     np.add.at(total, i[:-1] * LETTERS + i[1:], 1)
         seen = np.flatnonzero(total)
@@ -165,13 +204,13 @@ def consistent_form(docs: DataFrame, column: str = "text", out: str = "form") ->
     """Add ``out``: the consistent form of ``column``; null stays null, an empty text empty."""
     spark = docs.sparkSession
     scores, unseen = bigram_scores(bigram_counts(docs, column))
-    shared = spark.sparkContext.broadcast((scores, unseen))
+    shared, run = spark.sparkContext.broadcast((scores, unseen)), uuid.uuid4().hex
 
     @F.pandas_udf(T.StringType())
     def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        speller = Speller(*shared.value)
+        spell = speller(run, *shared.value)
         for s in batches:
-            yield pd.Series([None if t is None else speller.text(t) for t in s], dtype=object)
+            yield pd.Series([None if t is None else spell.text(t) for t in s], dtype=object)
 
     return docs.withColumn(out, form(F.col(column)))
 
@@ -185,7 +224,7 @@ def alike_pairs(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
     one text are never paired with each other.
     """
     rows = consistent_form(docs.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()), column)
-    rows = rows.select(key, F.md5("form").alias("f"), F.md5(column).alias("t"))
+    rows = staged(rows.select(key, F.md5("form").alias("f"), F.md5(column).alias("t")), "forms")
     texts = rows.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
     shared = texts.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("f")
     members = rows.join(shared, "f", "left_semi")
