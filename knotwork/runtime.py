@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "knotwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,5 +57,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = pathlib.Path(__file__).resolve().parent
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    if not os.path.isdir(folder):  # a shared folder that is no file system path: Spark's file server takes over
+        folder = tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/knotwork-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"knotwork/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
