@@ -170,6 +170,11 @@ def block_keys(kind: Column, main: Column, by_sound: Column, a: Column, b: Colum
     return F.when(kind == "P", person).otherwise(organisation)
 
 
+def hashed(keys: Column) -> Column:
+    """Short keys for the shuffle; what a collision brings together is told apart by the operations."""
+    return F.transform(keys, lambda k: F.xxhash64(k))
+
+
 def near(a: Column, b: Column) -> Column:
     """One typo apart: a letter added, left out, changed or moved to the next place."""
     return (F.levenshtein(a, b) <= 2) & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.least(F.length(a), F.length(b)) >= 3)
@@ -213,9 +218,9 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     common = full.groupBy("kind", "a").agg(F.countDistinct("main").alias("common"))
     full = full.join(common, ["kind", "a"]).join(weights.withColumnRenamed("s", "c"), "c")
     full = full.withColumn("snd", sound(F.col("main")))
-    cand = full.withColumn(
-        "k", F.explode(block_keys(F.col("kind"), F.col("main"), F.col("snd"), F.col("a"), F.col("b"), F.array(F.substring("a", 1, 1))))
-    )
+    cand = full.withColumn("k", F.explode(hashed(block_keys(
+        F.col("kind"), F.col("main"), F.col("snd"), F.col("a"), F.col("b"), F.array(F.substring("a", 1, 1))
+    ))))
     ask = hyps.join(nicks, hyps["a"] == nicks["short"], "left").join(common, ["kind", "a"], "left")
     ask = ask.join(weights.withColumnRenamed("weight", "own_weight"), "s")
     ask = ask.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("snd", sound(F.col("main")))
@@ -225,11 +230,12 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     )
     is_full = F.expr("own and ((kind = 'P' and length(a) > 1) or (kind = 'O' and a <> '' and b <> ''))")
     ask = ask.withColumn("is_full", F.max(is_full).over(Window.partitionBy("s")))
-    ask = ask.withColumn("k", F.explode(block_keys(F.col("kind"), F.col("main"), F.col("snd"), F.col("a"), F.col("b"), initials)))
+    ask = ask.withColumn("k", F.explode(hashed(block_keys(
+        F.col("kind"), F.col("main"), F.col("snd"), F.col("a"), F.col("b"), initials
+    ))))
     v, w = ask.alias("v"), cand.alias("w")
-    pairs = v.join(
-        w, (F.col("v.kind") == F.col("w.kind")) & (F.col("v.k") == F.col("w.k")) & (F.col("v.s") != F.col("w.c"))
-    )
+    met = (F.col("v.k") == F.col("w.k")) & (F.col("v.kind") == F.col("w.kind")) & (F.col("v.s") != F.col("w.c"))
+    pairs = v.join(w, met)
     va, vb, wa, wb = (F.col(x) for x in ("v.a", "v.b", "w.a", "w.b"))
     person = F.col("v.kind") == "P"
     main_op = F.when(F.col("v.main") == F.col("w.main"), "same").when(F.col("v.snd") == F.col("w.snd"), "sound").when(
