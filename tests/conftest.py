@@ -13,8 +13,8 @@ def spark():
     s = session(
         "tests", "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-            "spark.default.parallelism": "4", "spark.ui.showConsoleProgress": "false",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+            "spark.default.parallelism": "2", "spark.ui.showConsoleProgress": "false",
         },
     )
     s.sparkContext.setLogLevel("ERROR")
