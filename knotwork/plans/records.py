@@ -76,6 +76,23 @@ ORACLE = {
                WHEN ref IN (SELECT node_id FROM nodes) THEN 'late' ELSE 'missing' END AS reason,
           count(*) AS n_refs
         FROM orphans GROUP BY ALL""",
+    "p5_found": """
+        WITH RECURSIVE last AS (SELECT node_id, documents, contexts, metadata FROM nodes
+          QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) = 1),
+        r AS (
+          SELECT node_id, 'metadata' AS path, metadata::JSON AS v, json_type(metadata) AS t FROM last WHERE json_valid(metadata)
+          UNION ALL
+          SELECT node_id, CASE WHEN t = 'OBJECT' THEN path || '.' || c.key WHEN t = 'ARRAY' THEN path || '[' || c.key || ']' ELSE path END,
+            c.value, json_type(c.value)
+          FROM r, LATERAL (
+            SELECT j.key, j.value FROM json_each(r.v) j WHERE r.t IN ('OBJECT', 'ARRAY')
+            UNION ALL SELECT NULL, (r.v ->> '$')::JSON WHERE CASE WHEN r.t = 'VARCHAR' AND json_valid(r.v ->> '$')
+              THEN json_type(r.v ->> '$') IN ('OBJECT', 'ARRAY', 'VARCHAR') ELSE false END) c)
+        SELECT node_id, path FROM r WHERE t = 'OBJECT' AND path <> 'metadata'
+        UNION ALL SELECT node_id, 'documents[' || i || ']' FROM (
+          SELECT node_id, unnest(documents) AS d, generate_subscripts(documents, 1) - 1 AS i FROM last) WHERE d IS NOT NULL
+        UNION ALL SELECT node_id, 'contexts[' || i || ']' FROM (
+          SELECT node_id, unnest(contexts) AS d, generate_subscripts(contexts, 1) - 1 AS i FROM last) WHERE d IS NOT NULL""",
     "p5_contexts": """
         WITH last AS (SELECT node_id, contexts FROM nodes
           QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) = 1),

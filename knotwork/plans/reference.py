@@ -60,7 +60,9 @@ def sentence_segments(spark, d):
 
 def chunk_documents(spark, d):
     rows = _docs(spark, d).select("document_id", F.explode(X.chunks(F.col("text"))).alias("c")).select("document_id", "c.*")
-    return rows.select(X.uuid5(F.concat_ws("_", "document_id", F.col("chunk_index").cast("string"))).alias("chunk_id"), "*")
+    seed = F.concat_ws("_", "document_id", F.col("chunk_index").cast("string"))
+    places = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "start", "stop")]
+    return rows.select(X.uuid5(seed).alias("chunk_id"), "document_id", *places)
 
 
 def fixed_chunks(spark, d):

@@ -69,6 +69,17 @@ VHITS = """vv AS (SELECT document_id, min(embedding::DOUBLE[]) AS x FROM chunk_v
   hits AS (SELECT query_id, document_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vv.x, vq.x) DESC, document_id) AS rank
     FROM vv, vq QUALIFY rank <= 10)"""
 
+
+def found_in(mark: str, before: int, after: int) -> str:
+    """SQL of the end just past the first mark near e, or null."""
+    width = before + after
+    at = f"instr(substr(text, (e - {before} + 1)::BIGINT, {width}), {mark})"
+    return f"CASE WHEN {at} > 0 AND e - {before} + {at} > 1 THEN e - {before} + {at} - 1 + length({mark}) END"
+
+
+UUID5 = """h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', h[17:17]), 1) || h[18:20] || '-' || h[21:32]"""
+STOP = f"CASE WHEN e >= n THEN e ELSE coalesce({found_in('chr(10) || chr(10)', 200, 200)}, {found_in(chr(39) + '. ' + chr(39), 200, 50)}, {found_in(chr(39) + ' ' + chr(39), 20, 20)}, e) END"
+
 ORACLE = {
     "extract_rule_mentions": f"WITH {DOCS}, m AS ({RULES}) SELECT document_id, type, text, count(*) AS n FROM m GROUP BY ALL",
     "mention_spans": f"""WITH {DOCS}, g AS (SELECT document_id, regexp_extract_all(plain, '{PERSON}') AS h, string_split_regex(plain, '{PERSON}') AS g FROM d),
@@ -78,6 +89,17 @@ ORACLE = {
     "truncate_inputs": "SELECT doc_id, md5(left(text, 8000)) AS cut, length(left(text, 8000)) AS n FROM documents",
     "sentence_segments": r"""WITH s AS (SELECT doc_id, string_split_regex(text, '[.!?]\s+') AS p FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, unnest(range(0, len(p))) AS segment, md5(unnest(p)) AS content_md5 FROM s""",
+    "chunk_documents": f"""WITH RECURSIVE w AS (
+          SELECT document_id, text, n, start, k, {STOP} AS stop FROM (SELECT document_id, text, length(text) AS n, 0::BIGINT AS start, 0::BIGINT AS k, least(1000, length(text)) AS e FROM documents WHERE text <> '')
+          UNION ALL SELECT document_id, text, n, start, k, {STOP} AS stop FROM (SELECT document_id, text, n, s AS start, k, least(s + 1000, n) AS e
+            FROM (SELECT document_id, text, n, greatest(stop - 200, start + 1) AS s, k + 1 AS k FROM w WHERE stop < n))),
+        c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS chunk_index FROM w
+          WHERE n <= 1000 OR length(regexp_replace(substr(text, start + 1, stop - start), '\\s', '', 'g')) > 0),
+        i AS (SELECT *, sha1(unhex(repeat('0', 32)) || encode(document_id || '_' || chunk_index)) AS h FROM c)
+        SELECT {UUID5} AS chunk_id, document_id, chunk_index, start, stop::BIGINT AS stop FROM i""",
+    "metadata_merge": """WITH m AS (SELECT edge_id, j.key AS field, j.value ->> '$' AS v FROM edges, json_each(edges.metadata) j
+          WHERE source_id IS NOT NULL AND json_valid(metadata) AND json_type(metadata) = 'OBJECT')
+        SELECT edge_id, field, array_to_string(list_sort(list_distinct(list(v))), ',') AS values FROM m WHERE v IS NOT NULL GROUP BY ALL""",
     "fixed_chunks": """WITH s AS (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 500 + 1)) AS chunk_index FROM documents WHERE text <> '')
         SELECT doc_id, chunk_index, md5(substr(text, chunk_index * 500 + 1, 600)) AS content_md5 FROM s""",
     "chunk_ids": f"""WITH {CL}, h AS (SELECT chunk_id, sha1(unhex(repeat('0', 32)) || encode(document_id || '_' || chunk_index)) AS h FROM c)
