@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 KEYS = {
     "documents": ["document_id"], "chunks": ["chunk_id"], "mentions": ["document_id", "start_pos", "end_pos", "type"],
     "nodes": ["node_id"], "edges": ["edge_id"], "links": ["node_id", "document_id", "chunk_index"],
+    "embeddings": ["id"],
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from knotwork import cli
 from knotwork.config import Config
+from knotwork.engine import Engine
 from knotwork.operators.extract import rule_mentions
 from knotwork.plans.pipeline import ingest, process_documents
 from knotwork.sources import files
@@ -140,6 +141,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "kg.json").read_text())["nodes"]
 
 
+def test_engine(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.create()
+    docs = spark.createDataFrame([("d1", TEXT), ("d2", "Grace Hopper works for Acme Trading Corp."), ("d3", "unrelated words about gardens")], "document_id string, text string")
+    engine.add_documents(docs)
+    q = spark.createDataFrame([("1", "Where is John Smith in Boston"), ("2", "gardens")], "query_id string, text string")
+    found = {(r["query_id"], r["document_id"]): r for r in engine.search(q).collect()}
+    assert found[("1", "d1")]["rank"] == 1 and found[("2", "d3")]["rank"] == 1
+    only = engine.search(q, filters={"document_id": "d2"}, use_graph=False)
+    assert {r["document_id"] for r in only.collect()} <= {"d2"}
+    assert engine.search_entities("hopper").first()["text"] == "Grace Hopper"
+    chunks, entities = engine.get_document("d2")
+    assert chunks.count() == 1 and {r["text"] for r in entities.collect()} >= {"Grace Hopper"}
+    engine.add_entity("Ada Byron", "PERSON", "d9")
+    engine.add_relationship("ada byron", "Grace Hopper", "KNOWS", 0.9)
+    engine.add_relationship("nobody", "Grace Hopper", "KNOWS")
+    documents, relations = engine.get_entity("Ada Byron")
+    assert [r["document"] for r in documents.collect()] == ["d9"] and [r["neighbour_text"] for r in relations.collect()] == ["Grace Hopper"]
+    assert engine.paths("Ada Byron", "Grace Hopper").first()["hops"] == 1
+    assert engine.paths("Ada Byron", "Grace Hopper", every=True).count() >= 1
+    near, _ = engine.network("Ada Byron")
+    assert {r["text"] for r in near.where("hop = 1").collect()} == {"Grace Hopper"}
+    assert {r["metric"]: r["value"] for r in engine.statistics().collect()}["chunks"] == 3
+    engine.delete_document("d3")
+    assert engine.get_document("d3")[0].count() == 0
+    engine.export(str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "edges")).where("label = 'KNOWS'").count() == 1
+    engine.clear()
+    assert engine.statistics().where("metric = 'nodes'").first()["value"] == 0
+
+
 def test_rest_works_without_the_training_data_package():
     code = "import sys; sys.modules['knotwork.llm'] = None\nimport __spark_entry__ as e; print(sorted(n for n in e.queries() if n[0] == 'p' and n[1].isdigit()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
