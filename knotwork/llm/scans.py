@@ -31,6 +31,7 @@ IMAGES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "gif")
 HYPHENS = "-‐‑¬­"
 EDGE = ".,;:!?()[]{}<>\"'“”‘’«»…|~#*=_" + HYPHENS + "–—"
 SHARD_WORDS = 200_000
+BROADCAST_ROWS = 200_000
 
 # Usual misreadings, right characters and what they are read as.
 MISREAD = (
@@ -375,7 +376,8 @@ def repairs(chunks: DataFrame, *, most_cost: float = 1.25, ratio: float = 20.0)
     # misread words, by cost, frequency and the words beside them
     pairs = words.select("before", "word").where("before is not null").groupBy("before", "word").agg(F.count(F.lit(1)).alias("m"))
     meant = found.join(unknown, "word").where((F.col("n") >= ratio * F.col("seen")) | (F.col("cost") <= 2 * CHEAP + 0.01))
-    at = words.join(meant, "word")
+    # few words are misread: up to a checked number of rows they go to the tokens, not the tokens to them
+    at = words.join(F.broadcast(meant) if found.count() <= BROADCAST_ROWS else meant, "word")
     at = at.join(pairs.select("before", F.col("word").alias("right"), F.col("m").alias("m1")), ["before", "right"], "left")
     at = at.join(pairs.select(F.col("before").alias("right"), F.col("word").alias("after"), F.col("m").alias("m2")), ["right", "after"], "left")
     score = -8 * F.col("cost") + F.log1p("n") + F.log1p(F.coalesce("m1", F.lit(0))) + F.log1p(F.coalesce("m2", F.lit(0)))
