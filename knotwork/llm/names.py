@@ -218,9 +218,9 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     common = full.groupBy("kind", "a").agg(F.countDistinct("main").alias("common"))
     full = full.join(common, ["kind", "a"]).join(weights.withColumnRenamed("s", "c"), "c")
     full = full.withColumn("snd", sound(F.col("main")))
-    cand = full.withColumn("k", F.explode(hashed(block_keys(
-        F.col("kind"), F.col("main"), F.col("snd"), F.col("a"), F.col("b"), F.array(F.substring("a", 1, 1))
-    ))))
+    ids = staged(weights.select("s").withColumn("sid", F.monotonically_increasing_id()), "ids")
+    full = staged(full.join(ids.withColumnRenamed("s", "c"), "c").withColumnRenamed("sid", "cid"), "full")
+    firsts = F.array(F.substring("a", 1, 1))
     ask = hyps.join(nicks, hyps["a"] == nicks["short"], "left").join(common, ["kind", "a"], "left")
     ask = ask.join(weights.withColumnRenamed("weight", "own_weight"), "s")
     ask = ask.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("snd", sound(F.col("main")))
@@ -230,12 +230,13 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     )
     is_full = F.expr("own and ((kind = 'P' and length(a) > 1) or (kind = 'O' and a <> '' and b <> ''))")
     ask = ask.withColumn("is_full", F.max(is_full).over(Window.partitionBy("s")))
-    ask = ask.withColumn("k", F.explode(hashed(block_keys(
-        F.col("kind"), F.col("main"), F.col("snd"), F.col("a"), F.col("b"), initials
-    ))))
-    v, w = ask.alias("v"), cand.alias("w")
-    met = (F.col("v.k") == F.col("w.k")) & (F.col("v.kind") == F.col("w.kind")) & (F.col("v.s") != F.col("w.c"))
-    pairs = v.join(w, met)
+    ask = staged(ask.join(ids, "s").withColumns({"initials": initials, "hid": F.monotonically_increasing_id()}), "ask")
+    # only ids and hashed keys are shuffled to find who meets whom
+    parts = [F.col(c) for c in ("kind", "main", "snd", "a", "b")]
+    v = ask.select("hid", "sid", F.explode(hashed(block_keys(*parts, F.col("initials")))).alias("k"))
+    w = full.select("cid", F.explode(hashed(block_keys(*parts, firsts))).alias("k"))
+    met = v.join(w, "k").where("sid <> cid").select("hid", "cid").distinct()
+    pairs = met.join(ask.alias("v"), "hid").join(full.alias("w"), "cid").where("v.kind = w.kind")
     va, vb, wa, wb = (F.col(x) for x in ("v.a", "v.b", "w.a", "w.b"))
     person = F.col("v.kind") == "P"
     main_op = F.when(F.col("v.main") == F.col("w.main"), "same").when(F.col("v.snd") == F.col("w.snd"), "sound").when(
