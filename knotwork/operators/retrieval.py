@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.vectors import cosine
+from knotwork.functions.vectors import cosine, dot, normalised
 from knotwork.operators.edges import confident, incident
 
 K1, B, RANK_SHIFT = 1.2, 0.75, 60
@@ -19,14 +19,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, limit: int = 10, offset: int
     one block, more in several.
     """
     v = vectors if where is None else vectors.where(where)
-    v = v.where("embedding is not null").select("id", F.col("embedding").alias("e"))
-    q = queries.where("embedding is not null").select("query_id", F.col("embedding").alias("qe"))
+    # unit vectors first, so that a pair costs one product
+    v = v.where("embedding is not null").select("id", normalised(F.col("embedding")).alias("e"))
+    q = queries.where("embedding is not null").select("query_id", normalised(F.col("embedding")).alias("qe"))
     blocks = q.count() // max_broadcast + 1
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     out = None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        s = v.join(F.broadcast(part), F.size("e") == F.size("qe")).select("query_id", "id", cosine(F.col("e"), F.col("qe")).alias("similarity"))
+        s = v.join(F.broadcast(part), F.size("e") == F.size("qe")).select("query_id", "id", dot(F.col("e"), F.col("qe")).alias("similarity"))
         s = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit + offset)
         out = s if out is None else out.unionByName(s)
     return out.where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
