@@ -21,7 +21,7 @@ class Config:
     ego_nodes: int = 50
     path_depth: int = 3
     entity_limit: int = 100
-    extraction_chars: int = 10_000
+    extraction_chars: int = 0  # 0: whole texts
     embedding_chars: int = 8_000
     case_sensitive: bool = False
     store: str = "knotwork-store"

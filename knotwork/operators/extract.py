@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ DEFAULT_TYPES = (
     "WORK_OF_ART", "LAW", "LANGUAGE", "CONCEPT",
 )
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-# Own patterns for the accepted forms; portable between Java and RE2 (no lookaround).
+# Own patterns for the accepted forms; portable between Python, Java and RE2 (no lookaround).
 PATTERNS = {
     "DATE": rf"\b(?:{MONTHS}) \d{{1,2}}(?:st|nd|rd|th)?, \d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b",
     "TIME": r"\b\d{1,2}:\d{2}(?: ?(?:AM|PM|am|pm))?\b",
@@ -28,6 +29,7 @@ PATTERNS = {
     "PHONE": r"(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
     "URL": r"https?://(?:www\.)?[A-Za-z0-9@:%._+~#=-]{1,256}\.[A-Za-z0-9]{1,6}\b[A-Za-z0-9()@:%_+.~#?&/=-]*",
 }
+OVERLAP = 200  # characters that neighbouring prompts of a model have in common
 MENTION = T.StructType([
     T.StructField("document_id", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("type", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()),
@@ -42,46 +44,29 @@ def ascii_form(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}\p{M}]", ","), r"[^\x00-\x7F]", "_")
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start_pos, end_pos>> of all matches of a pattern without groups."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_pos:int,end_pos:int>>").alias("out"))
-    return F.aggregate(
-        lengths, start,
-        lambda s, x: F.struct(
-            (s["at"] + x["g"] + x["h"]).alias("at"),
-            F.array_append(s["out"], F.struct((s["at"] + x["g"]).alias("start_pos"), (s["at"] + x["g"] + x["h"]).alias("end_pos"))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-
-
-def rule_mentions(docs: DataFrame, types: tuple[str, ...] = DEFAULT_TYPES, id_col: str = "document_id", chars: int = 10_000) -> DataFrame:
+def rule_mentions(docs: DataFrame, types: tuple[str, ...] = DEFAULT_TYPES, id_col: str = "document_id", chars: int = 0) -> DataFrame:
     """(document_id, text, type, start_pos, end_pos): every match of the pattern of every requested type.
 
     Matches of different types may overlap; null and blank texts have none; types without a
-    pattern give none. Positions are code points of the text cut to ``chars`` characters.
+    pattern give none. Positions are code points of the text, which is read as a whole, or
+    cut to ``chars`` characters where a caller asks for it.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), F.substring("text", 1, chars).alias("body"))
+    body = F.substring("text", 1, chars) if chars else F.col("text")
+    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), body.alias("body"))
     rows = rows.where(F.trim("body") != "").withColumn("plain", ascii_form(F.col("body")))
     known = [t for t in types if t in PATTERNS]
-    if not known:
-        return rows.limit(0).select("document_id", F.lit("").alias("text"), F.lit("").alias("type"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
 
-    def typed(kind: str) -> Column:
-        return F.transform(
-            spans(F.col("plain"), PATTERNS[kind]),
-            lambda s: F.struct(F.lit(kind).alias("type"), s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos")),
-        )
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = [(t, re.compile(PATTERNS[t], re.ASCII)) for t in known]
+        for pdf in batches:
+            out = [
+                (d, body[m.start() : m.end()], t, m.start(), m.end())
+                for d, body, plain in zip(pdf["document_id"], pdf["body"], pdf["plain"], strict=True)
+                for t, pattern in patterns for m in pattern.finditer(plain)
+            ]
+            yield pd.DataFrame(out, columns=MENTION.fieldNames())
 
-    found = F.flatten(F.array(*map(typed, known)))
-    rows = rows.select("document_id", "body", F.explode(found).alias("m"))
-    return rows.select(
-        "document_id", F.substring("body", F.col("m.start_pos") + 1, F.col("m.end_pos") - F.col("m.start_pos")).alias("text"),
-        "m.type", "m.start_pos", "m.end_pos",
-    )
+    return rows.mapInPandas(find, MENTION)
 
 
 def gazetteer_mentions(docs: DataFrame, terms: DataFrame, id_col: str = "document_id", max_terms: int = 200_000) -> DataFrame:
@@ -147,7 +132,13 @@ def entity_prompt(text: Column, types: tuple[str, ...] = DEFAULT_TYPES) -> Colum
 
 
 def model_mentions(docs: DataFrame, ask: Callable[[str], str], types: tuple[str, ...] = DEFAULT_TYPES, id_col: str = "document_id", chars: int = 10_000) -> DataFrame:
-    """Mentions from any model ``ask(prompt) -> reply``; a failing call gives no mentions."""
+    """Mentions from any model ``ask(prompt) -> reply``; a failing call gives no mentions.
+
+    A prompt holds at most ``chars`` characters; a longer text is asked in windows that
+    overlap by ``OVERLAP`` characters. A mention counts in the window in whose own part
+    (without the overlap that follows) it begins.
+    """
+    step = max(chars - OVERLAP, (chars + 1) // 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,12 +148,23 @@ def model_mentions(docs: DataFrame, ask: Callable[[str], str], types: tuple[str,
                     replies.append(ask(p))
                 except Exception:
                     replies.append("")
-            yield pd.DataFrame({"document_id": pdf["document_id"], "reply": replies})
+            yield pd.DataFrame({"w": pdf["w"], "reply": replies})
 
-    prompts = docs.where(F.trim("text") != "").select(
-        F.col(id_col).cast("string").alias("document_id"), entity_prompt(F.substring("text", 1, chars), types).alias("prompt")
+    last = F.greatest(F.lit(0), F.ceil((F.length("text") - chars) / step)).cast("int")
+    windows = docs.where(F.trim("text") != "").select(
+        F.col(id_col).cast("string").alias("document_id"), "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("k")
+    )
+    windows = windows.withColumn("body", F.substring("text", F.col("k") * step + 1, F.lit(chars)))
+    keys = F.to_json(F.struct("document_id", "k", "last", "body"))
+    prompts = windows.select(keys.alias("w"), entity_prompt(F.col("body"), types).alias("prompt"))
+    m = reply_mentions(prompts.mapInPandas(run, "w string, reply string"), "w")
+    m = m.withColumn("w", F.from_json("document_id", "document_id string, k int, last int, body string"))
+    placed = F.col("end_pos") > F.col("start_pos")
+    begins = F.when(placed, F.col("start_pos")).otherwise(F.instr(F.col("w.body"), F.col("text")) - 1)
+    shift = F.when(placed, F.col("w.k") * step).otherwise(0)
+    return m.where((begins < step) | (F.col("w.k") == F.col("w.last"))).select(
+        F.col("w.document_id").alias("document_id"), "text", "type", (F.col("start_pos") + shift).alias("start_pos"), (F.col("end_pos") + shift).alias("end_pos")
     )
-    return reply_mentions(prompts.mapInPandas(run, "document_id string, reply string"))
 
 
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {"rule_based": rule_mentions, "gazetteer": gazetteer_mentions, "model": model_mentions}

@@ -1,5 +1,7 @@
 import hashlib
+import json
 import re
+import unicodedata
 import uuid
 
 import pytest
@@ -50,6 +52,29 @@ def test_rule_spans_equal_python(spark):
     assert got == want
 
 
+def test_rules_read_long_texts_to_the_end(spark):
+    kinds = tuple(extract.PATTERNS)
+    part = "“Ada Byron” met Grace Hopper at 10:30 pm,  paid $1,000.50 on May 3, 2021. Call (555) 123 4567.\nดร.Alan Turing wrote a.b@c.org; Big Blue Iron Co? "
+    texts = [part * 400, "ก" * 25_000 + " Anna Ng", "Xy " * 9_000, "no end, " * 3_000 + "12/3/2020"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], DOCS)
+    got = sorted((r["document_id"], r["type"], r["start_pos"], r["end_pos"], r["text"]) for r in extract.rule_mentions(df, kinds).collect())
+    plain = [re.sub(r"[^\x00-\x7f]", lambda m: "_" if m.group().isalnum() or unicodedata.category(m.group())[0] == "M" else ",", t) for t in texts]
+    want = sorted((str(i), k, m.start(), m.end(), texts[i][m.start() : m.end()]) for i, t in enumerate(plain) for k in kinds for m in re.finditer(extract.PATTERNS[k], t))
+    assert got == want and max(r[3] for r in want if r[0] == "0") > 50_000
+
+
+def test_model_is_asked_about_the_whole_text(spark):
+    text = "x" * 190 + " Ada " + "y" * 300 + " Bob " + "z" * 300 + " Ada"
+    df = spark.createDataFrame([("d", text)], DOCS)
+
+    def ask(prompt):
+        body = prompt.split("Text:\n")[1]
+        return json.dumps([{"text": m.group(), "type": "PERSON", "start_pos": m.start(), "end_pos": m.end()} for m in re.finditer("Ada|Bob", body)])
+
+    got = sorted((r["start_pos"], r["text"]) for r in extract.model_mentions(df, ask, chars=400).collect())
+    assert got == [(m.start(), m.group()) for m in re.finditer("Ada|Bob", text)]
+
+
 def test_gazetteer(spark):
     df = spark.createDataFrame([("d", "graph graphs"), ("e", None)], DOCS)
     terms = spark.createDataFrame([("graph", "CONCEPT"), ("", "CONCEPT"), ("raph", "X")], "text string, type string")
