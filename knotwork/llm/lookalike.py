@@ -42,7 +42,14 @@ IGNORABLE = re.compile(
 SPACES = re.compile("[   -   　]")
 THAI_MARKS = re.compile("[ัิ-ฺ็-๎]{2,}")
 TWINS = {ord(a): b for alike, latin in (CYRILLIC, GREEK, ARMENIAN, LATIN) for a, b in zip(alike, latin, strict=True)}
-SINGLE = TWINS | {ord(a): b for a, b in OTHERS.items()}
+# Letters that carry marks look like the Latin twin with the same marks.
+MARKED = {
+    c: unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(c)).translate(TWINS))
+    for c in range(0x370, 0x2000)
+    if c not in TWINS and len(d := unicodedata.normalize("NFD", chr(c))) > 1 and ord(d[0]) in TWINS
+}
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+SINGLE = TWINS | MARKED | {ord(a): b for a, b in OTHERS.items()}
 SPECIAL = re.compile("[" + "".join(map(chr, SINGLE)) + "]")
 LETTERS = 0x590  # Latin, Greek, Cyrillic and Armenian letters lie below
 TOKEN = re.compile("([A-Za-zÀ-ɏɐ-ʯͰ-֏]+)")
@@ -54,14 +61,19 @@ def compatible(text: str) -> str:
     if text.isascii():
         return text
     s = unicodedata.normalize("NFKC", IGNORABLE.sub("", text))
-    s = SPACES.sub(" ", IGNORABLE.sub("", s))
+    return ordered_marks(SPACES.sub(" ", IGNORABLE.sub("", s)))
+
+
+def ordered_marks(s: str) -> str:
     return THAI_MARKS.sub(lambda m: "".join(sorted(m.group())), s)
 
 
 def single_classes(text: str) -> str:
     """The compatible form with every look-alike letter replaced by the name of its class."""
     s = compatible(text)
-    return s.translate(SINGLE) if not s.isascii() and SPECIAL.search(s) else s
+    if s.isascii() or not SPECIAL.search(s):
+        return s
+    return ordered_marks(unicodedata.normalize("NFC", s.translate(SINGLE)))
 
 
 def joined_sequences(s: str) -> str:
@@ -85,6 +97,10 @@ def alternatives() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for a, b in TWINS.items():
         out.setdefault(b, [b]).append(chr(a))
+    for c in range(0xC0, 0x250):
+        base, *marks = unicodedata.normalize("NFD", chr(c))
+        if marks and base in out:
+            out[chr(c)] = [unicodedata.normalize("NFC", a + "".join(marks)) for a in out[base]]
     for sequence, one in SEQUENCES:
         if one.isascii():
             out.setdefault(one, [one]).append(sequence)
@@ -125,10 +141,11 @@ def best_spelling(token: str, score: dict[tuple[str, str], float], unseen: float
             continue
         nxt = []
         for alt in place:
-            inner = sum(score.get((a, b), unseen) for a, b in zip(alt, alt[1:], strict=False))
+            bare = alt.rstrip(MARKS)
+            inner = sum(score.get((a, b), unseen) for a, b in zip(bare, bare[1:], strict=False))
             s = script(alt[0])
             nxt.append(min(
-                (cost - inner - score.get((last, alt[0]), unseen) + SWITCH * (last != " " and script(last) != s), spelt + alt, alt[-1])
+                (cost - inner - score.get((last, alt[0]), unseen) + SWITCH * (last != " " and script(last) != s), spelt + alt, bare[-1])
                 for cost, spelt, last in beam
             ))
         beam = nxt

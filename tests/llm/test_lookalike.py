@@ -54,6 +54,24 @@ def test_forms_are_spelt_in_one_script(spark):
     assert forms == {0: texts[0], 1: texts[1], 2: "chapter of a book"}
 
 
+MARKED = [("ä", "ӓ", "а\u0308"), ("ö", "ӧ", "о\u0308"), ("ë", "ё", "е\u0308"), ("ï", "ї", "і\u0308"), ("ó", "ό", "ο\u0301"), ("á", "ά", "а\u0301")]
+
+
+@pytest.mark.parametrize("marked", MARKED)
+def test_marked_letters_look_like_their_twins(spark, marked):
+    texts = [f"H{c}r w{d}g" for c in (*marked, unicodedata.normalize("NFD", marked[0])) for d in (marked[0], marked[2])]
+    assert len({lookalike.skeleton(t) for t in texts}) == 1
+    assert lookalike.skeleton(texts[0]) != lookalike.skeleton(f"H{unicodedata.normalize('NFD', marked[0])[0]}r w{marked[0]}g")
+    if marked == MARKED[0]:
+        assert pairs(spark, texts) == set(itertools.combinations(range(len(texts)), 2))
+
+
+def test_marked_letters_are_spelt_in_one_script(spark):
+    texts = ["ещё простая за\u0301мок система", "größer schön"]
+    forms = {r["doc_id"]: r["form"] for r in lookalike.consistent_form(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert forms == dict(enumerate(texts))
+
+
 @given(st.text(max_size=40))
 def test_skeleton_is_stable_under_normalisation(text):
     want = lookalike.skeleton(text)
