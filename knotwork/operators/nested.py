@@ -103,10 +103,11 @@ def _unfold(df: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("m", F.expr("if(open, try_cast(v as map<string, variant>), null)")).withColumn(
         "a", F.expr("if(open, try_cast(v as array<variant>), null)")
     )
-    df = df.withColumn("seen", F.coalesce("is_object", F.lit(False)) | F.col("m").isNotNull())
+    df = df.withColumn("object", F.coalesce("is_object", F.lit(False)) | F.col("m").isNotNull())
+    df = df.withColumn("seen", F.col("object") | F.expr("ordinal is not null and a is null"))
     me = (
         "named_struct('path', path, 'parent_path', parent_path, 'ordinal', ordinal, 'v', v,"
-        " 'open', false, 'is_object', seen)"
+        " 'open', false, 'is_object', object)"
     )
     kids = (
         "coalesce(transform(map_entries(m), e -> named_struct('path', path || '.' || e.key, 'parent_path', path,"
@@ -117,10 +118,11 @@ def _unfold(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.expr(f"explode(if(seen, array({me}), array()) || {kids}) as r")).select(key, "r.*")
 
 
-def object_rows(decoded: DataFrame, key: str, column: str, depth: int) -> DataFrame:
-    """(key, path, parent_path, ordinal, value): every object inside a decoded JSON column but its root.
+def record_rows(decoded: DataFrame, key: str, column: str, depth: int) -> DataFrame:
+    """(key, path, parent_path, ordinal, value, is_object): every object of a decoded JSON column and every array element.
 
-    ``depth`` is the greatest nesting depth of the column; every ``STEPS_PER_STAGE`` levels
+    The root counts as an object; null elements give no rows, and an array in an array gives
+    its elements. ``depth`` is the greatest nesting depth of the column; every ``STEPS_PER_STAGE`` levels
     the rows are staged, so the plan stays small for any depth.
     """
     rows = decoded.where(F.col("json").isNotNull()).select(
@@ -136,11 +138,18 @@ def object_rows(decoded: DataFrame, key: str, column: str, depth: int) -> DataFr
         if level and level % STEPS_PER_STAGE == 0:
             rows = staged(rows, "nested")
         rows = _unfold(rows, key)
-    return rows.where(F.col("is_object") & (F.col("path") != column)).select(
-        key, "path", "parent_path", "ordinal", F.col("v").alias("value")
+    # what is still open after all levels is no container
+    return rows.where(F.col("is_object") | (F.col("ordinal").isNotNull() & ~F.expr("is_variant_null(v)"))).select(
+        key, "path", "parent_path", "ordinal", F.col("v").alias("value"), "is_object"
     )
 
 
+def object_rows(decoded: DataFrame, key: str, column: str, depth: int) -> DataFrame:
+    """(key, path, parent_path, ordinal, value): every object inside a decoded JSON column but its root."""
+    rows = record_rows(decoded, key, column, depth)
+    return rows.where(F.col("is_object") & (F.col("path") != column)).drop("is_object")
+
+
 def decoded_records(df: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
     """The decoded column, staged, and its greatest depth (one number from a distributed maximum)."""
     decoded = staged(df.select(key, decode_json(F.col(column)).alias("d")).select(key, "d.*"), "decoded")
@@ -175,21 +184,41 @@ def path_pattern(path: Column, map_key: str = r"[^.\[\]]*\d{4,}[^.\[\]]*") -> Co
     return F.regexp_replace(p, r"(?<=\.)" + map_key + r"(?=$|[.\[])", "*")
 
 
-def merged_schema(objects: DataFrame) -> DataFrame:
-    """(pattern, field, types, n_rows): fields of all objects of one pattern with every type seen."""
-    fields = objects.select(
-        path_pattern(F.col("path")).alias("pattern"),
-        F.explode_outer(F.expr("map_entries(try_cast(value as map<string, variant>))")).alias("e"),
-    )
+def merged_schema(rows: DataFrame) -> DataFrame:
+    """(pattern, field, types, n_rows): fields of all objects of one pattern with every type seen.
+
+    Array elements that are no objects have a null field and their own types.
+    """
+    rows = rows.select(path_pattern(F.col("path")).alias("pattern"), "value", F.expr("try_cast(value as map<string, variant>)").alias("m"))
+    fields = rows.select("pattern", F.when(F.col("m").isNull(), F.col("value")).alias("scalar"), F.explode_outer(F.map_entries("m")).alias("e"))
     return fields.groupBy(
         "pattern",
         F.when(F.col("e.key").rlike(r"\d{4,}"), "*").otherwise(F.col("e.key")).alias("field"),
     ).agg(
-        F.array_sort(F.collect_set(F.expr("split(schema_of_variant(e.value), '[<(]')[0]"))).alias("types"),
+        F.array_sort(F.collect_set(F.expr("split(schema_of_variant(coalesce(e.value, scalar)), '[<(]')[0]"))).alias("types"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
 
+def child_rows(rows: DataFrame, key: str) -> DataFrame:
+    """The flat tables of all patterns in long form: one row per field of an object and per other array element.
+
+    Keys are those of ``child_table``; the root has no parent. ``field`` is null for elements that are
+    no objects and for objects without fields; ``value`` is text (JSON for containers).
+    """
+    root = F.split("path", r"[.\[]").getItem(0)
+    m = F.expr("try_cast(value as map<string, variant>)")
+    rows = rows.select(key, "path", "parent_path", "ordinal", m.alias("m"), "value").select(
+        F.md5(F.concat_ws("|", F.col(key), F.col("path"))).alias("record_key"),
+        F.when(F.col("path") != root, F.md5(F.concat_ws("|", F.col(key), F.coalesce("parent_path", root)))).alias("parent_key"),
+        key, "path", "ordinal", F.when(F.col("m").isNull(), F.col("value")).alias("scalar"), F.explode_outer(F.map_entries("m")).alias("e"),
+    )
+    return rows.select(
+        "record_key", "parent_key", key, "path", path_pattern(F.col("path")).alias("pattern"), "ordinal", F.col("e.key").alias("field"),
+        F.expr("coalesce(try_variant_get(coalesce(e.value, scalar), '$', 'string'), to_json(coalesce(e.value, scalar)))").alias("value"),
+    )
+
+
 def child_table(objects: DataFrame, key: str, pattern: str, fields: list[str]) -> DataFrame:
     """The flat table of one pattern: surrogate keys, ordinal and the named scalar fields as text.
 

@@ -35,8 +35,18 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.object_rows(decoded, "node_id", "metadata", depth)
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = nested.latest_rows(table(spark, sf_dir, "nodes"), "node_id", "ingested_at", ["metadata"])
+    decoded, depth = nested.decoded_records(last, "node_id", "metadata")
+    return nested.record_rows(decoded, "node_id", "metadata", depth)
+
+
 def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.merged_schema(_objects(spark, sf_dir))
+    return nested.merged_schema(_records(spark, sf_dir))
+
+
+def p5_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.child_rows(_records(spark, sf_dir), "node_id")
 
 
 def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +59,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_contexts": p5_contexts,
     "p5_schema": p5_schema,
+    "p5_children": p5_children,
     "p5_spans": p5_spans,
 }
 

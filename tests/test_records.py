@@ -96,6 +96,24 @@ def test_child_tables_keep_their_parents(spark):
     assert schema[("metadata.s[]", "k")] == ["BIGINT", "STRING"]
 
 
+def test_all_records_become_rows(spark):
+    text = json.dumps({"c": 0.5, "m": ["a", None, 3], "t": [["x"], []], "s": [{"k": "v", "o": {}}]})
+    df = spark.createDataFrame([("n", text), ("p", "[1, {}]"), ("q", "{}")], "node_id string, metadata string")
+    rows = nested.record_rows(*(lambda d: (d[0], "node_id", "metadata", d[1]))(nested.decoded_records(df, "node_id", "metadata")))
+    kids = nested.child_rows(rows, "node_id").collect()
+    flat = {(r["node_id"], r["path"], r["ordinal"], r["field"]): r["value"] for r in kids if r["field"] not in ("m", "t", "s")}
+    assert flat == {
+        ("n", "metadata", None, "c"): "0.5", ("n", "metadata.m[0]", 0, None): "a", ("n", "metadata.m[2]", 2, None): "3",
+        ("n", "metadata.t[0][0]", 0, None): "x", ("n", "metadata.s[0]", 0, "k"): "v", ("n", "metadata.s[0]", 0, "o"): "{}",
+        ("n", "metadata.s[0].o", None, None): None, ("p", "metadata[0]", 0, None): "1", ("p", "metadata[1]", 1, None): None, ("q", "metadata", None, None): None,
+    }
+    keys = {r["path"]: r["record_key"] for r in kids if r["node_id"] == "n"}
+    assert {r["parent_key"] for r in kids if r["path"] == "metadata"} == {None}
+    assert {r["parent_key"] for r in kids if r["path"] in ("metadata.m[0]", "metadata.s[0]") and r["node_id"] == "n"} == {keys["metadata"]}
+    schema = {(r["pattern"], r["field"]): r["types"] for r in nested.merged_schema(rows).collect()}
+    assert schema[("metadata", "c")] == ["DECIMAL"] and schema[("metadata.m[]", None)] == ["BIGINT", "STRING"] and schema[("metadata.t[][]", None)] == ["STRING"]
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab{[\"", max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("ab", min_size=1, max_size=2), x, max_size=3), max_leaves=8)
 
 
