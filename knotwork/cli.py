@@ -5,27 +5,35 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from knotwork.config import Config
-from knotwork.operators import graph, resolve, retrieval, stats
-from knotwork.plans.pipeline import ingest
-from knotwork.runtime import session
+from knotwork.engine import Engine
+from knotwork.operators import graph
+from knotwork.plans.pipeline import import_totals
+from knotwork.runtime import session, staged
 from knotwork.sources.files import DEFAULT_EXTENSIONS, read_documents
 from knotwork.sources.store import Store, export_json, network_document
 
 
-def shown(df: DataFrame, form: str, limit: int = 1000) -> str:
-    """Rows as text, JSON or a Markdown table; the first ``limit`` rows."""
-    rows = [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def shown(df: DataFrame, form: str) -> Iterator[str]:
+    """Rows as lines of text, of a JSON list or of a Markdown table; they are fetched partition by partition."""
+    rows = (r.asDict(recursive=True) for r in df.toLocalIterator())
     if form == "json":
-        return json.dumps(rows, ensure_ascii=False, indent=2, default=str)
-    if form == "markdown":
-        head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-        return "\n".join([head, *("| " + " | ".join(str(v) for v in r.values()) + " |" for r in rows)])
-    return "\n".join(", ".join(f"{k}: {v}" for k, v in r.items()) for r in rows)
+        yield "["
+        for n, r in enumerate(rows):
+            yield ("," if n else "") + json.dumps(r, ensure_ascii=False, default=str)
+        yield "]"
+    elif form == "markdown":
+        yield "| " + " | ".join(df.columns) + " |"
+        yield "|" + "---|" * len(df.columns)
+        for r in rows:
+            yield "| " + " | ".join(str(v) for v in r.values()) + " |"
+    else:
+        for r in rows:
+            yield ", ".join(f"{k}: {v}" for k, v in r.items())
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,6 +52,8 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--limit", type=int, default=5)
+    s.add_argument("--alpha", type=float, help="0: keywords only, 1: vectors only")
+    s.add_argument("--no-graph", action="store_true")
     for name, arg in (("get-document", "document_id"), ("get-entity", "text"), ("get-related-documents", "text")):
         sub.add_parser(name).add_argument(arg)
     sub.add_parser("stats")
@@ -53,54 +63,51 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(args: argparse.Namespace, spark) -> str:
+def run(args: argparse.Namespace, spark) -> Iterable[str]:
+    """The lines of the answer of a command."""
     config = Config.load(args.config)
     store = Store(spark, args.store or config.store)
+    engine = Engine(spark, store.path, config)
     c = args.command
     if c == "init":
-        if args.force:
-            store.clear()
-        return "ready"
+        engine.create(args.force)
+        return ["ready"]
     if c in ("import-file", "import-directory"):
         kinds = tuple(args.extensions.split(",")) if c == "import-directory" else (*DEFAULT_EXTENSIONS, "csv", "xlsx")
-        docs = read_documents(spark, args.path, kinds, recursive=not getattr(args, "flat", False)).where("text <> ''")
-        ingest(store, docs, config)
-        return f"imported {docs.count()} documents"
+        docs = staged(read_documents(spark, args.path, kinds, recursive=not getattr(args, "flat", False)), "files")
+        return shown(import_totals(store, engine.add_documents(docs)), args.format)
     if c == "search":
-        chunks = store.read("chunks").select(F.concat_ws("#", "document_id", "chunk_index").alias("id"), F.col("content").alias("text"))
-        q = spark.createDataFrame([(0, args.query)], "query_id int, text string")
-        best = retrieval.ranked(retrieval.keyword_scores(q, chunks), "score", args.limit)
-        return shown(best.join(chunks, "id").orderBy("rank").select("rank", "id", "score", "text"), args.format)
+        q = spark.createDataFrame([("0", args.query)], "query_id string, text string")
+        hits = engine.search(q, args.limit, args.alpha, use_graph=not args.no_graph)
+        return shown(hits.orderBy("rank").select("rank", "document_id", "result_type"), args.format)
     if c == "get-document":
-        rows = store.read("chunks").where(F.col("document_id") == args.document_id).orderBy("chunk_index")
-        return shown(rows.select("chunk_index", "content"), args.format)
-    nodes, edges = store.read("nodes"), store.read("edges")
-    if c in ("get-entity", "get-related-documents"):
-        ids = resolve.node_of_text(nodes, spark.createDataFrame([(args.text,)], "text string"))
-        if c == "get-entity":
-            return shown(graph.entity_relationships(edges, nodes, ids).select("direction", "type", "neighbour_text", "neighbour_type", "confidence"), args.format)
-        return shown(resolve.nodes_by_document(nodes).join(ids.select("node_id"), "node_id", "left_semi").select("document", "text", "type"), args.format)
+        return shown(engine.get_document(args.document_id)[0].select("chunk_index", "content"), args.format)
+    if c == "get-entity":
+        return shown(engine.get_entity(args.text)[1].select("direction", "type", "neighbour_text", "neighbour_type", "confidence"), args.format)
+    if c == "get-related-documents":
+        return shown(engine.get_entity(args.text)[0].select("document", "text", "type"), args.format)
     if c == "stats":
-        s = graph.statistics(nodes, edges).unionByName(stats.store_statistics(store.read("chunks").withColumn("document_type", F.lit("text")), nodes, edges).select("metric", F.col("value").cast("double").alias("value")))
-        return shown(s.distinct().orderBy("metric"), args.format)
-    n, e = graph.export_nodes(nodes), graph.export_edges(edges, nodes)
+        return shown(engine.statistics().distinct().orderBy("metric"), args.format)
+    nodes = store.read("nodes")
+    n, e = graph.export_nodes(nodes), graph.export_edges(store.read("edges"), nodes)
     if args.one_file:
         with open(args.path, "w", encoding="utf-8") as out:
             out.write(network_document(n, e))
     else:
         export_json(n, f"{args.path}/nodes")
         export_json(e, f"{args.path}/edges")
-    return f"exported to {args.path}"
+    return [f"exported to {args.path}"]
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    text = run(args, session("knotwork"))
+    lines = run(args, session("knotwork"))
     if args.output:
         with open(args.output, "w", encoding="utf-8") as out:
-            out.write(text)
+            out.writelines(f"{x}\n" for x in lines)
     else:
-        print(text)
+        for x in lines:
+            print(x)
     return 0
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork import schemas
 from knotwork.config import Config
-from knotwork.functions.text import edge_id, node_id, where
+from knotwork.functions.text import where
 from knotwork.functions.vectors import embedded, hashing_embedder
 from knotwork.operators import extract, graph, resolve, retrieval, stats
-from knotwork.operators.edges import upsert_edges
+from knotwork.operators.edges import remove_edges
 from knotwork.plans.pipeline import ingest
 from knotwork.runtime import staged
 from knotwork.sources.store import Store, export_json
@@ -28,53 +28,40 @@ class Engine:
 
     def create(self, force: bool = False) -> None:
         """Empty tables where there are none; with ``force`` instead of those there are."""
-        for name, schema in schemas.TABLES.items():
-            if force or not self.store.exists(name):
-                self.store.write(name, self.spark.createDataFrame([], schema))
+        self.store.create(force)
 
     def _table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
-    def add_documents(self, docs: DataFrame, terms: DataFrame | None = None) -> None:
-        """Run the pipeline over documents (document_id, text) and store their chunks' vectors."""
-        ingest(self.store, docs, self.config, terms)
-        fresh = self._table("chunks").join(docs.select("document_id").distinct(), "document_id", "left_semi")
-        vectors = fresh.select(F.col("chunk_id").alias("id"), embedded(F.col("content"), self.embed, self.config.embedding_chars).alias("embedding"))
-        self.store.upsert("embeddings", vectors)
+    def add_documents(self, docs: DataFrame, terms: DataFrame | None = None) -> int:
+        """Run the pipeline over documents (document_id, text), store them with their chunks' vectors, and give their batch."""
+        return ingest(self.store, docs, self.config, terms, embed=self.embed)
 
     def delete_document(self, document_id: str) -> None:
-        """Remove a document with its chunks, their vectors and its links."""
-        ids = self.spark.createDataFrame([(document_id,)], "document_id string")
-        gone = staged(self._table("chunks").join(ids, "document_id", "left_semi").select(F.col("chunk_id").alias("id")), "gone")
-        self.store.delete("embeddings", gone)
-        for name in ("documents", "chunks", "links", "mentions"):
-            self.store.delete(name, ids)
-
-    def add_entity(self, text: str, kind: str, document: str | None = None) -> None:
+        """Remove a document with its chunks, their vectors, its mentions, relations and links."""
+        self.store.delete(self.spark.createDataFrame([(document_id,)], "document_id string"))
+
+    def add_entity(self, text: str, kind: str, document: str | None = None, metadata: dict | None = None) -> None:
         """One more occurrence of an entity."""
-        row = self.spark.createDataFrame([(text, kind, document)], "text string, type string, document string")
-        row = row.select(
-            node_id(F.col("text"), F.col("type")).alias("node_id"), "text", "type", F.lit(1).cast("long").alias("occurrences"),
-            F.array_compact(F.array("document")).alias("documents"), F.array().cast(f"array<{schemas.CONTEXT}>").alias("contexts"),
-        )
-        both = self._table("nodes").unionByName(row).groupBy("node_id").agg(
-            F.max("text").alias("text"), F.max("type").alias("type"), F.sum("occurrences").alias("occurrences"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
-            F.array_distinct(F.flatten(F.collect_list("contexts"))).alias("contexts"),
+        row = self.spark.createDataFrame(
+            [(document, text, kind, json.dumps(metadata) if metadata else None, True)], "document_id string, text string, type string, metadata string, added boolean"
         )
-        self.store.write("nodes", both)
+        self.store.append("mentions", row, self.store.batch_of(None))
 
     def add_relationship(self, source: str, target: str, kind: str, confidence: float = 1.0, bidirectional: bool = False) -> None:
         """One more occurrence of a relation between the nodes of two texts; unknown texts and self-loops add nothing."""
-        row = self.spark.createDataFrame([(source, target, kind, confidence, bidirectional)], "s string, t string, type string, confidence double, bidirectional boolean")
-        ids = resolve.node_of_text(self._table("nodes"), row.select(F.col("s").alias("text")).union(row.select("t")))
-        s = ids.select(F.col("text").alias("s"), F.col("node_id").alias("source_id"))
-        t = ids.select(F.col("text").alias("t"), F.col("node_id").alias("target_id"))
-        row = row.join(s, "s").join(t, "t").where("source_id <> target_id").select(
-            edge_id(F.col("source_id"), F.col("target_id"), F.col("type")).alias("edge_id"), "source_id", "target_id", "type", "confidence",
-            F.lit(1).cast("long").alias("occurrences"), F.array().cast("array<string>").alias("documents"), "bidirectional",
-        )
-        self.store.write("edges", upsert_edges(self._table("edges").unionByName(row)))
+        row = self.spark.createDataFrame([(source, target, kind, confidence, bidirectional, True)], "s string, t string, relationship string, confidence double, bidirectional boolean, added boolean")
+        nodes = staged(self._table("nodes"), "nodes")
+        ids = resolve.node_of_text(nodes, row.select(F.col("s").alias("text")).union(row.select("t")))
+        ids = ids.join(nodes.select("node_id", F.col("text").alias("name"), "type"), "node_id")
+        s = ids.select(F.col("text").alias("s"), F.col("name").alias("source"), F.col("type").alias("source_type"))
+        t = ids.select(F.col("text").alias("t"), F.col("name").alias("target"), F.col("type").alias("target_type"))
+        row = row.join(s, "s").join(t, "t").where("source <> target or source_type <> target_type").drop("s", "t")
+        self.store.append("relations", row, self.store.batch_of(None))
+
+    def remove_relationships(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The edges without those of ``ids`` (edge_id), and how many went; the store keeps what they were found in."""
+        return remove_edges(self._table("edges"), ids)
 
     def search(self, queries: DataFrame, limit: int | None = None, alpha: float | None = None, filters: dict | None = None, use_graph: bool = True) -> DataFrame:
         """(query_id, document_id, result_type, rank) of queries (query_id, text).
@@ -87,7 +74,7 @@ class Engine:
         text = c.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
         v = self._table("embeddings").join(c.select(F.col("chunk_id").alias("id")), "id", "left_semi")
         q = queries.select("query_id", embedded(F.col("text"), self.embed).alias("embedding"))
-        words = retrieval.ranked(retrieval.keyword_scores(queries, text), "score", 5 * limit)
+        words = retrieval.keyword_top(queries, text, 5 * limit)
         best = retrieval.fused(retrieval.nearest(q, v, 5 * limit), words, alpha, 5 * limit).where("score > 0")
         docs = best.join(c.select(F.col("chunk_id").alias("id"), "document_id"), "id").groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
         hits = staged(retrieval.ranked(docs.withColumnRenamed("document_id", "id"), "score", limit).withColumnRenamed("id", "document_id"), "hits")
@@ -96,7 +83,8 @@ class Engine:
         m = extract.rule_mentions(queries.select(F.col("query_id").cast("string").alias("document_id"), "text"), ("PERSON", "ORGANIZATION", "EMAIL", "PHONE"))
         m = m.select(F.col("document_id").alias("query_id"), "text", "type")
         hits = hits.withColumn("query_id", F.col("query_id").cast("string"))
-        return retrieval.graph_augmented(hits, m, self._table("nodes"), self._table("edges"), limit, self.config.confidence_threshold)
+        nodes, edges = staged(self._table("nodes"), "nodes"), staged(self._table("edges"), "edges")
+        return retrieval.graph_augmented(hits, m, nodes, edges, limit, self.config.confidence_threshold)
 
     def search_entities(self, text: str | None = None, kind: str | None = None, limit: int = 100) -> DataFrame:
         return graph.query_entities(self._table("nodes"), text, kind, None, limit, self.config.case_sensitive)
@@ -118,8 +106,10 @@ class Engine:
         ids = resolve.node_of_text(self._table("nodes"), self.spark.createDataFrame([(source,), (target,)], "text string"))
         s = ids.where(F.col("text") == source).select(F.col("node_id").alias("source"))
         t = ids.where(F.col("text") == target).select(F.col("node_id").alias("target"))
-        find = graph.simple_paths if every else graph.shortest_paths
-        return find(self._table("edges"), s.join(t, F.lit(True)), depth or self.config.path_depth, self.config.confidence_threshold)
+        most = (depth or self.config.path_depth, self.config.confidence_threshold)
+        if every:
+            return graph.simple_paths(self._table("edges"), s.withColumnRenamed("source", "node_id"), t.withColumnRenamed("target", "node_id"), *most)
+        return graph.shortest_paths(self._table("edges"), s.join(t, F.lit(True)), *most)  # one row each
 
     def network(self, text: str) -> tuple[DataFrame, DataFrame]:
         ids = resolve.node_of_text(self._table("nodes"), self.spark.createDataFrame([(text,)], "text string"))
@@ -130,7 +120,7 @@ class Engine:
 
     def statistics(self) -> DataFrame:
         """Graph and store statistics in one table (metric, value)."""
-        nodes, edges = self._table("nodes"), self._table("edges")
+        nodes, edges = staged(self._table("nodes"), "nodes"), staged(self._table("edges"), "edges")
         chunks = self._table("chunks").withColumn("document_type", F.lit("text"))
         s = stats.store_statistics(chunks, nodes, edges).select("metric", F.col("value").cast("double").alias("value"))
         return graph.statistics(nodes, edges).unionByName(s.where("metric <> 'documents'"))

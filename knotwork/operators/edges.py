@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import edge_id
-from knotwork.operators.nested import latest_rows
+from knotwork.operators.nested import latest_rows, merged_metadata, metadata_json
 
 # Relations and their inverses.
 INVERSE = {
@@ -56,30 +56,60 @@ def with_inverse(edges: DataFrame) -> DataFrame:
     return edges.select(*inv.columns).unionByName(inv)
 
 
-def upsert_edges(edges: DataFrame) -> DataFrame:
-    """One edge per edge_id: sum of occurrences, greatest confidence, all documents."""
-    docs = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("documents", F.array().cast("array<string>"))))))
-    return edges.groupBy(*LINK).agg(
-        F.max("confidence").alias("confidence"), F.sum(F.coalesce("occurrences", F.lit(1))).alias("occurrences"),
-        docs.alias("documents"), F.max("bidirectional").alias("bidirectional"),
+def _united(edges: DataFrame, key: list[str], extra: dict[str, Column]) -> DataFrame:
+    """Edges of equal ``key`` as one: documents united, occurrences summed, ``extra`` minima; metadata merged where there is any.
+
+    Documents are exploded and combined per (key, document) first, so an edge that many
+    documents name is spread before its rows come together.
+    """
+    h = F.xxhash64(*key)
+    rows = edges.withColumns({n: c for n, c in extra.items()}).select("*", h.alias("_h"), F.posexplode_outer("documents").alias("_at", "_doc"))
+    once = F.coalesce("_at", F.lit(0)) == 0
+    per = rows.groupBy("_h", *key, "_doc").agg(
+        F.sum(F.when(once, F.coalesce("occurrences", F.lit(1)))).alias("occurrences"), F.count(F.when(once, F.lit(1))).alias("merged"),
+        F.max("confidence").alias("confidence"), F.max("bidirectional").alias("bidirectional"), *[F.min(n).alias(n) for n in extra],
     )
+    out = per.groupBy("_h", *key).agg(
+        F.max("confidence").alias("confidence"), F.sum("occurrences").alias("occurrences"), F.array_sort(F.collect_set("_doc")).alias("documents"),
+        F.max("bidirectional").alias("bidirectional"), F.sum("merged").alias("merged"), *[F.min(n).alias(n) for n in extra],
+    )
+    if "metadata" in edges.columns:
+        merged = metadata_json(merged_metadata(edges.withColumn("_h", h), "_h", "metadata"), ["_h"])
+        out = out.join(merged, "_h", "left")
+    return out.drop("_h")
+
+
+def upsert_edges(edges: DataFrame) -> DataFrame:
+    """One edge per edge_id: sum of occurrences, greatest confidence, all documents, merged metadata (where the table has it)."""
+    return _united(edges, LINK, {}).drop("merged")
 
 
 def merge_parallel(edges: DataFrame) -> DataFrame:
     """(source_id, target_id, type, ...): parallel edges as the one of greatest confidence, then smallest id."""
-    docs = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("documents", F.array().cast("array<string>"))))))
-    best = F.min(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "edge_id"))
-    out = edges.groupBy("source_id", "target_id", "type").agg(
-        best.alias("b"), F.sum(F.coalesce("occurrences", F.lit(1))).alias("occurrences"), docs.alias("documents"),
-        F.count(F.lit(1)).alias("merged"),
-    )
-    return out.select(F.col("b.edge_id").alias("edge_id"), "source_id", "target_id", "type", (-F.col("b.c")).alias("confidence"), "occurrences", "documents", "merged")
+    best = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "edge_id")
+    out = _united(edges, LINK[1:], {"_best": best})
+    own = ["occurrences", "documents", "merged", *[c for c in out.columns if c == "metadata"]]
+    return out.select(F.col("_best.edge_id").alias("edge_id"), "source_id", "target_id", "type", (-F.col("_best.c")).alias("confidence"), *own)
+
+
+def remove_edges(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges without those of ``ids`` (edge_id), and (removed): how many went; unknown and null ids remove nothing."""
+    ids = ids.select("edge_id").distinct()
+    gone = edges.join(ids, "edge_id", "left_semi").agg(F.count(F.lit(1)).alias("removed"))
+    return edges.join(ids, "edge_id", "left_anti"), gone
 
 
 def confident(edges: DataFrame, least: float) -> DataFrame:
+    """Edges of at least this confidence; null counts as 0."""
     return edges.where(F.coalesce("confidence", F.lit(0.0)) >= least)
 
 
+def confidence_cut(edges: DataFrame, least: float) -> DataFrame:
+    """(kept, removed): how many edges ``confident`` keeps and removes."""
+    keeps = F.coalesce("confidence", F.lit(0.0)) >= least
+    return edges.agg(F.count(F.when(keeps, F.lit(1))).alias("kept"), F.count(F.when(~keeps, F.lit(1))).alias("removed"))
+
+
 def between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges between the nodes of ``pairs`` (a, b), in either direction."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotwork.functions.text import first_json_array
+from knotwork.operators.rules import MATCHERS, find_all
+from knotwork.runtime import staged
 
 # Default types in the order of extraction, and those without a rule.
 DEFAULT_TYPES = (
     "PERSON", "ORGANIZATION", "LOCATION", "DATE", "TIME", "MONEY", "PERCENT", "FACILITY", "PRODUCT", "EVENT",
     "WORK_OF_ART", "LAW", "LANGUAGE", "CONCEPT",
 )
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-# Own patterns for the accepted forms; portable between Python, Java and RE2 (no lookaround).
-PATTERNS = {
-    "DATE": rf"\b(?:{MONTHS}) \d{{1,2}}(?:st|nd|rd|th)?, \d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b",
-    "TIME": r"\b\d{1,2}:\d{2}(?: ?(?:AM|PM|am|pm))?\b",
-    "MONEY": r"\$\d+(?:,\d{3})*(?:\.\d+)?|\b\d+(?:,\d{3})*(?:\.\d+)?\s(?:dollars|baht|USD|THB)\b",
-    "PERSON": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b",
-    "ORGANIZATION": r"\b(?:[A-Z][A-Za-z0-9]* ){2,}(?:Inc|LLC|Corp|Company|Co|Ltd)\b",
-    "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "PHONE": r"(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
-    "URL": r"https?://(?:www\.)?[A-Za-z0-9@:%._+~#=-]{1,256}\.[A-Za-z0-9]{1,6}\b[A-Za-z0-9()@:%_+.~#?&/=-]*",
-}
 OVERLAP = 200  # characters that neighbouring prompts of a model have in common
 MENTION = T.StructType([
     T.StructField("document_id", T.StringType()), T.StructField("text", T.StringType()),
@@ -36,78 +26,97 @@ MENTION = T.StructType([
 ])
 
 
-def ascii_form(text: Column) -> Column:
-    """The text with every non-ASCII letter, digit or mark as ``_`` and every other non-ASCII character as ``,``.
-
-    It has the length of the text, and word boundaries are the same in every regex dialect.
-    """
-    return F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}\p{M}]", ","), r"[^\x00-\x7F]", "_")
-
-
 def rule_mentions(docs: DataFrame, types: tuple[str, ...] = DEFAULT_TYPES, id_col: str = "document_id", chars: int = 0) -> DataFrame:
-    """(document_id, text, type, start_pos, end_pos): every match of the pattern of every requested type.
+    """(document_id, text, type, start_pos, end_pos): every match of the rule of every requested type.
 
     Matches of different types may overlap; null and blank texts have none; types without a
-    pattern give none. Positions are code points of the text, which is read as a whole, or
+    rule give none. Positions are code points of the text, which is read as a whole, or
     cut to ``chars`` characters where a caller asks for it.
     """
     body = F.substring("text", 1, chars) if chars else F.col("text")
-    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), body.alias("body"))
-    rows = rows.where(F.trim("body") != "").withColumn("plain", ascii_form(F.col("body")))
-    known = [t for t in types if t in PATTERNS]
+    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), body.alias("body")).where(F.trim("body") != "")
+    known = tuple(t for t in types if t in MATCHERS)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(t, re.compile(PATTERNS[t], re.ASCII)) for t in known]
         for pdf in batches:
             out = [
-                (d, body[m.start() : m.end()], t, m.start(), m.end())
-                for d, body, plain in zip(pdf["document_id"], pdf["body"], pdf["plain"], strict=True)
-                for t, pattern in patterns for m in pattern.finditer(plain)
+                (d, body[a:b], t, a, b)
+                for d, body in zip(pdf["document_id"], pdf["body"], strict=True) for t, a, b in find_all(body, known)
             ]
             yield pd.DataFrame(out, columns=MENTION.fieldNames())
 
     return rows.mapInPandas(find, MENTION)
 
 
-def gazetteer_mentions(docs: DataFrame, terms: DataFrame, id_col: str = "document_id", max_terms: int = 200_000) -> DataFrame:
-    """(document_id, text, type, start_pos, end_pos): every occurrence of every term, as substring.
+ANCHORS = (6, 3, 1)  # a term is found over its first six, three or one characters
+AHEAD = 128  # characters that a place takes along to be compared; longer terms are compared with the text itself
+MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(max(ANCHORS))]
+PLACE = T.StructType([
+    T.StructField("document_id", T.StringType()), T.StructField("start_pos", T.IntegerType()),
+    T.StructField("anchor", T.StringType()), T.StructField("ahead", T.StringType()),
+])
+
 
-    ``terms`` (text, type) is matched by an Aho-Corasick automaton in shards of at most
-    ``max_terms`` terms, each broadcast in turn against all documents.
+def _gram_hashes(text: str, n: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``n`` characters."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    if len(cp) < n:
+        return np.empty(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        h = sum((cp[k : len(cp) - n + 1 + k] * MIX[k] for k in range(n)), np.uint64(0))
+        return h ^ (h >> np.uint64(31))
+
+
+def _anchor_places(docs: DataFrame, anchors: DataFrame, most_anchors: int) -> DataFrame:
+    """(document_id, start_pos, anchor, ahead): the places of the texts at which some term may begin.
+
+    The distinct first characters of the terms go to the workers as hashes, if they are at most
+    ``most_anchors``; else every place is one.
     """
-    import ahocorasick
+    known = None
+    if anchors.count() <= most_anchors:
+        by_length: dict[int, list[str]] = {}
+        for r in anchors.collect():
+            by_length.setdefault(len(r["anchor"]), []).append(r["anchor"])
+        known = {n: np.unique(np.concatenate([_gram_hashes(x, n) for x in xs])) for n, xs in by_length.items()}
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for pdf in batches:
+            out = []
+            for d, body in zip(pdf["document_id"], pdf["body"], strict=True):
+                for n in ANCHORS if known is None else known:
+                    if known is None:
+                        at = range(max(0, len(body) - n + 1))
+                    else:
+                        h = _gram_hashes(body, n)
+                        i = np.minimum(np.searchsorted(known[n], h), len(known[n]) - 1)
+                        at = np.flatnonzero(known[n][i] == h)
+                    out += [(d, int(i), body[i : i + n], body[i : i + AHEAD]) for i in at]
+            yield pd.DataFrame(out, columns=PLACE.fieldNames())
+
+    return docs.mapInPandas(places, PLACE)
+
+
+def gazetteer_mentions(docs: DataFrame, terms: DataFrame, id_col: str = "document_id", most_anchors: int = 1_000_000) -> DataFrame:
+    """(document_id, text, type, start_pos, end_pos): every occurrence of every term, as substring.
 
-    spark = docs.sparkSession
+    ``terms`` (text, type); null and empty ones are left out, repeated ones count once. The
+    places of a text at which the first characters of some term stand are joined with the
+    terms of these characters, and the whole term is compared. Null and empty texts have none.
+    """
     terms = terms.select("text", "type").where((F.col("text") != "") & F.col("type").isNotNull()).distinct()
-    docs = docs.select(F.col(id_col).cast("string").alias("document_id"), "text").where(F.col("text").isNotNull())
-    shards = terms.count() // max_terms + 1
-
-    def one(shard: int) -> DataFrame:
-        part = terms.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by_text: dict[str, list[str]] = {}
-            for t, k in shared.value:
-                by_text.setdefault(t, []).append(k)
-            machine = ahocorasick.Automaton()
-            for t, kinds in by_text.items():
-                machine.add_word(t, (t, kinds))
-            machine.make_automaton()
-            for pdf in batches:
-                out = []
-                if by_text:
-                    for d, text in zip(pdf["document_id"], pdf["text"], strict=True):
-                        for end, (t, kinds) in machine.iter(text):
-                            out += [(d, t, k, end + 1 - len(t), end + 1) for k in kinds]
-                yield pd.DataFrame(out, columns=MENTION.fieldNames())
-
-        return docs.mapInPandas(find, MENTION)
-
-    found = one(0)
-    for s in range(1, shards):
-        found = found.unionByName(one(s))
-    return found
+    n = F.length("text")
+    first = F.when(n >= ANCHORS[0], ANCHORS[0]).when(n >= ANCHORS[1], ANCHORS[1]).otherwise(ANCHORS[2])
+    terms = staged(terms.select("text", "type", F.substring("text", F.lit(1), first).alias("anchor"), n.alias("n")), "terms")
+    docs = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col("text").alias("body")).where(F.length("text") > 0)
+    met = _anchor_places(docs, terms.select("anchor").distinct(), most_anchors).join(terms, "anchor")
+    columns = ["document_id", "text", "type", "start_pos", (F.col("start_pos") + F.col("n")).cast("int").alias("end_pos")]
+    found = met.where((F.col("n") <= AHEAD) & F.startswith("ahead", "text"))
+    long = met.where((F.col("n") > AHEAD) & F.startswith("text", "ahead")).join(docs, "document_id")
+    long = long.where(F.substring("body", F.col("start_pos") + 1, F.col("n")) == F.col("text"))
+    return found.select(*columns).unionByName(long.select(*columns))
 
 
 REPLY = "array<struct<text:string,type:string,start_pos:string,end_pos:string>>"

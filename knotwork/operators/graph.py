@@ -79,52 +79,90 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int, min_confidence: float
     return seen
 
 
+def _traced(tree: DataFrame, name: str, depth: int) -> DataFrame:
+    """(name, at, hop, nodes, edges) of a search tree: the way from the start to every node, start first."""
+    t = tree.select(F.col("start").alias(name), F.col("node_id").alias("at"), "hop", "parent", "edge_id")
+    way = t.where("hop = 0").select(name, "at", "hop", F.array("at").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    level, done = way, way
+    for hop in range(1, depth + 1):
+        up = level.select(name, F.col("at").alias("parent"), "nodes", "edges")
+        level = t.where(F.col("hop") == hop).join(up, [name, "parent"]).select(
+            name, "at", "hop", F.array_append("nodes", F.col("at")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges")
+        )
+        done = done.unionByName(level)
+    return done
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
     """(source, target, hops, nodes, edge_ids): one shortest path of every pair (source, target), if any.
 
-    A pair of equal ends has no path. Paths are read back from the search tree hop by hop.
+    The search goes from both ends: each side is searched to half of the depth, and the ways
+    of a pair are joined by one edge between their ends, looked up by both of its nodes. A
+    node with very many edges is thus met, but its edges are never fanned out in the middle.
+    Of equally short paths the one of the smallest node list wins. A pair of equal ends has
+    no path; null ends and unknown nodes have none.
     """
-    p = pairs.where("source <> target").select("source", "target").distinct()
-    tree = staged(hops(edges, p.select(F.col("source").alias("node_id")), depth, min_confidence), "tree")
-    t = tree.select(F.col("start").alias("source"), F.col("node_id").alias("at"), "hop", "parent", "edge_id")
-    path = p.withColumn("at", F.col("target")).join(t, ["source", "at"]).select(
-        "source", "target", F.col("hop").alias("hops"), F.array("at").alias("nodes"),
-        F.array().cast("array<string>").alias("edge_ids"), "parent", F.col("edge_id").alias("via"),
+    p = staged(pairs.where("source <> target").select("source", "target").distinct(), "pairs")
+    back = (depth - 1) // 2
+    ahead = depth - 1 - back
+    fore = staged(_traced(hops(edges, p.select(F.col("source").alias("node_id")), ahead, min_confidence), "source", ahead), "ahead")
+    rear = staged(_traced(hops(edges, p.select(F.col("target").alias("node_id")), back, min_confidence), "target", back), "back")
+    e = incident(confident(edges, min_confidence)).groupBy(F.col("node_id").alias("x"), F.col("neighbour_id").alias("y")).agg(F.min("edge_id").alias("mid"))
+    left = p.join(fore.select("source", F.col("at").alias("x"), F.col("hop").alias("h1"), F.col("nodes").alias("n1"), F.col("edges").alias("e1")), "source")
+    both = left.join(rear.select("target", F.col("at").alias("y"), F.col("hop").alias("h2"), F.col("nodes").alias("n2"), F.col("edges").alias("e2")), "target")
+    met = both.join(e, ["x", "y"]).select(
+        "source", "target", (F.col("h1") + F.col("h2") + 1).alias("hops"), F.concat("n1", F.reverse("n2")).alias("nodes"),
+        F.concat("e1", F.array("mid"), F.reverse("e2")).alias("edge_ids"),
     )
-    for _ in range(depth):
-        path = path.join(t.select("source", F.col("at").alias("parent"), F.col("parent").alias("above"), F.col("edge_id").alias("next_via")), ["source", "parent"], "left")
-        more = F.col("parent").isNotNull()
-        path = path.select(
-            "source", "target", "hops", F.when(more, F.array_prepend("nodes", F.col("parent"))).otherwise(F.col("nodes")).alias("nodes"),
-            F.when(more, F.array_prepend("edge_ids", F.col("via"))).otherwise(F.col("edge_ids")).alias("edge_ids"),
-            F.col("above").alias("parent"), F.col("next_via").alias("via"),
-        )
-    return path.drop("parent", "via")
+    best = met.groupBy("source", "target").agg(F.min(F.struct("hops", "nodes", "edge_ids")).alias("b"))
+    return best.select("source", "target", "b.*")
+
 
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
+    """(source, target, nodes): every path without repeated nodes of at most ``depth`` steps from a source to a target (node_id).
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
-    """(source, target, nodes): every path without repeated nodes of at most ``depth`` steps."""
-    e = incident(confident(edges, min_confidence)).select("node_id", "neighbour_id").distinct()
-    p = pairs.where("source <> target").select("source", "target").distinct()
-    walk = p.withColumn("nodes", F.array("source")).withColumn("at", F.col("source"))
+    Walks start once per source, not once per pair, and only go on to nodes from which some
+    target can still be reached within the steps that are left. They stop at nothing: a
+    target on the way ends one path and is passed by others.
+    """
+    e = staged(incident(confident(edges, min_confidence)).select("node_id", "neighbour_id").distinct(), "adjacent")
+    near = [staged(targets.select("node_id").distinct(), "near")]
+    for _ in range(depth - 1):
+        step = e.join(near[-1].select(F.col("node_id").alias("neighbour_id")), "neighbour_id", "left_semi").select("node_id")
+        near.append(staged(step.unionByName(near[-1]).distinct(), "near"))
+    walk = sources.select(F.col("node_id").alias("source")).distinct().withColumn("nodes", F.array("source")).withColumn("at", F.col("source"))
     done = None
-    for _ in range(depth):
-        walk = walk.join(e.select(F.col("node_id").alias("at"), "neighbour_id"), "at")
+    for k in range(depth):
+        onward = e.join(near[depth - 1 - k].select(F.col("node_id").alias("neighbour_id")), "neighbour_id", "left_semi")
+        walk = walk.join(onward.select(F.col("node_id").alias("at"), "neighbour_id"), "at")
         walk = walk.where(~F.array_contains("nodes", F.col("neighbour_id")))
-        walk = walk.select("source", "target", F.array_append("nodes", F.col("neighbour_id")).alias("nodes"), F.col("neighbour_id").alias("at"))
-        end = walk.where("at = target").select("source", "target", "nodes")
+        walk = staged(walk.select("source", F.array_append("nodes", F.col("neighbour_id")).alias("nodes"), F.col("neighbour_id").alias("at")), "walks")
+        end = walk.join(near[0].select(F.col("node_id").alias("at")), "at", "left_semi").select("source", F.col("at").alias("target"), "nodes")
         done = end if done is None else done.unionByName(end)
-        walk = walk.where("at <> target")
     return done
 
 
 def ego_network(edges: DataFrame, nodes: DataFrame, centre: DataFrame, depth: int = 2, min_confidence: float = 0.5, most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Nodes (start, node_id, hop, text, type) around every centre, nearest first up to ``most``, and the edges among them."""
-    reached = hops(edges, centre, depth, min_confidence)
-    w = Window.partitionBy("start").orderBy("hop", "node_id")
-    near = staged(reached.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("start", "node_id", "hop"), "ego")
-    named = near.join(nodes.select("node_id", "text", "type", "occurrences"), "node_id", "left")
+    """Nodes (start, node_id, hop, text, type) around every centre, nearest first up to ``most``, and the edges among them.
+
+    The cap works inside of every hop: a centre that has its ``most`` nodes goes no further, and
+    of a node's neighbours only the ``2 * most`` smallest ids can be among the next ones, since
+    at most ``most`` are already taken.
+    """
     e = confident(edges, min_confidence)
+    around = incident(e).select("node_id", "neighbour_id").distinct()
+    w = Window.partitionBy("node_id").orderBy("neighbour_id")
+    around = staged(around.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * most).drop("n"), "adjacent")
+    near = staged(centre.select(F.col("node_id").alias("start"), "node_id").distinct().withColumn("hop", F.lit(0)), "ego")
+    for hop in range(1, depth + 1):
+        open_ = near.groupBy("start").agg(F.count(F.lit(1)).alias("taken")).where(F.col("taken") < most)
+        edge_of = near.where(F.col("hop") == hop - 1).join(open_, "start")
+        step = edge_of.join(around, "node_id").select("start", F.col("neighbour_id").alias("node_id"), "taken").distinct()
+        step = step.join(near.select("start", "node_id"), ["start", "node_id"], "left_anti")
+        ranked = step.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("node_id")))
+        ranked = ranked.where(F.col("n") <= most).where(F.col("n") + F.col("taken") <= most)
+        near = staged(near.unionByName(ranked.select("start", "node_id", F.lit(hop).alias("hop"))), "ego")
+    named = near.join(nodes.select("node_id", "text", "type", "occurrences"), "node_id", "left")
     inside = e.join(near.select("start", F.col("node_id").alias("source_id")), "source_id").join(
         near.select("start", F.col("node_id").alias("target_id")), ["start", "target_id"]
     )

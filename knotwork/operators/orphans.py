@@ -2,15 +2,15 @@
 
 ``orphan_references`` finds references whose parent was never registered, was deleted
 before the reference was made, or was registered only later. A Bloom filter of the
-parent keys is built in blocks on the executors and broadcast when its size, computed
-from the number of parent rows, stays under ``max_filter_bytes``; a reference the filter
-denies is a definite orphan. Only filter-positive references take part in the exact
-as-of join. Above the bound every reference goes to the exact join.
-
-The as-of join is salted by day, so a key that holds a third of all rows is spread over
-all its days: a first pass keeps the last version of a parent per day and carries it
-forward over the days on which the key occurs, a second pass orders versions and
-references inside one (key, day).
+parent keys is built in blocks on the executors, sized from the number of distinct keys. It
+is broadcast when it stays under ``max_filter_bytes``; a larger one stays where it is, and
+the distinct references are sent to its blocks. A reference the filter denies is a definite
+orphan. Only filter-positive references take part in the exact as-of join.
+
+The as-of join is salted by slots of time (hours), so a key that holds a third of all rows is
+spread over all its slots: a first pass keeps the last version of a parent per slot and
+carries it forward over the slots in which the key occurs, a second pass orders versions and
+references inside one (key, slot).
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 BLOCK_BITS = 1 << 17  # one block of the filter: 16 KiB
 HASHES = 7
+GRAIN = "hour"  # the slots of time by which the as-of join is salted
 
 
 def reference_key(c: Column) -> Column:
@@ -70,8 +71,19 @@ def filter_blocks(n_keys: int, bits_per_key: int = 12) -> int:
     return max(1, math.ceil(n_keys * bits_per_key / BLOCK_BITS))
 
 
+def _probe(h: np.ndarray, packed: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether every bit of every hash is set in its block, a row of ``packed``."""
+    a, b = _bit_positions(h)
+    hit = np.ones(len(h), dtype=bool)
+    for i in range(HASHES):
+        p = (a + np.uint64(i) * b) & np.uint64(BLOCK_BITS - 1)
+        byte = packed[row, (p >> np.uint64(3)).astype(np.int64)]
+        hit &= (byte >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    return hit
+
+
 def might_exist(df: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Add ``maybe``: false where the filter proves that the key has no parent.
+    """Add ``maybe``: false where the filter proves that the key has no parent; the whole filter is broadcast.
 
     The collected filter has ``n_blocks`` times 16 KiB, which the caller has checked.
     """
@@ -85,18 +97,31 @@ def might_exist(df: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> Da
         bits = shared.value
         for s in hashes:
             h = s.to_numpy()
-            block = np.mod(h, n_blocks)
-            a, b = _bit_positions(h)
-            hit = np.ones(len(h), dtype=bool)
-            for i in range(HASHES):
-                p = (a + np.uint64(i) * b) & np.uint64(BLOCK_BITS - 1)
-                byte = bits[block, (p >> np.uint64(3)).astype(np.int64)]
-                hit &= (byte >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1 == 1
-            yield pd.Series(hit)
+            yield pd.Series(_probe(h, bits, np.mod(h, n_blocks)))
 
     return df.withColumn("maybe", probe(F.xxhash64(F.col(key))))
 
 
+def might_exist_by_block(df: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """As ``might_exist`` for a filter of any size: the distinct keys go to the block of the filter that holds their bits.
+
+    A key counts once however many rows have it, so a key that fills the table weighs nothing
+    here; the answers are joined back to the rows (a skewed side is split by adaptive execution).
+    """
+    keys = df.select(key).distinct().select(key, F.xxhash64(F.col(key)).alias("h"))
+    keys = keys.withColumn("block", F.pmod(F.col("h"), F.lit(n_blocks)).cast("int"))
+
+    def probe(asked: pd.DataFrame, filled: pd.DataFrame) -> pd.DataFrame:
+        if not len(filled):
+            return pd.DataFrame({key: asked[key], "maybe": np.zeros(len(asked), dtype=bool)})
+        bits = np.frombuffer(filled["bits"].iloc[0], dtype=np.uint8)[None, :]
+        return pd.DataFrame({key: asked[key], "maybe": _probe(asked["h"].to_numpy(), bits, np.zeros(len(asked), dtype=np.int64))})
+
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("maybe", T.BooleanType())])
+    answers = keys.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(probe, schema)
+    return df.join(answers, key)
+
+
 def first_references(
     children: DataFrame, child_id: str, ref_fields: Sequence[str], time: str
 ) -> DataFrame:
@@ -124,27 +149,27 @@ def as_of_state(refs: DataFrame, parents: DataFrame, key: str, time: str, delete
     versions = parents.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
         F.col(key).alias("ref"), F.struct(F.col(time).alias("ts"), F.col(deleted).alias("deleted_at")).alias("version")
     )
-    versions = versions.withColumn("day", F.to_date("version.ts"))
-    daily = versions.groupBy("ref", "day").agg(F.max("version").alias("version"))
-    refs = refs.withColumn("day", F.to_date("t"))
+    versions = versions.withColumn("slot", F.date_trunc(GRAIN, "version.ts"))
+    daily = versions.groupBy("ref", "slot").agg(F.max("version").alias("version"))
+    refs = refs.withColumn("slot", F.date_trunc(GRAIN, "t"))
     none = F.lit(None).cast(daily.schema["version"].dataType)
     days = (
-        refs.select("ref", "day").distinct().withColumn("version", none).unionByName(daily)
-        .groupBy("ref", "day").agg(F.max("version").alias("version"))
+        refs.select("ref", "slot").distinct().withColumn("version", none).unionByName(daily)
+        .groupBy("ref", "slot").agg(F.max("version").alias("version"))
     )
-    before = Window.partitionBy("ref").orderBy(F.col("day").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("ref").orderBy(F.col("slot").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         days.withColumn("version", F.last("version", ignorenulls=True).over(before))
         .where(F.col("version").isNotNull())
-        .select("ref", "day", "version")
+        .select("ref", "slot", "version")
     )
-    own = [c for c in refs.columns if c not in ("ref", "day")]
+    own = [c for c in refs.columns if c not in ("ref", "slot")]
     empty = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in own]
-    marks = versions.select("ref", "day", "version").unionByName(carried).select("ref", "day", "version", *empty)
-    asked = refs.select("ref", "day", none.alias("version"), *own)
+    marks = versions.select("ref", "slot", "version").unionByName(carried).select("ref", "slot", "version", *empty)
+    asked = refs.select("ref", "slot", none.alias("version"), *own)
     at = F.coalesce(F.col("version.ts"), F.col("t"))
     upto = (
-        Window.partitionBy("ref", "day")
+        Window.partitionBy("ref", "slot")
         .orderBy(at.asc_nulls_last(), F.col("version").isNull(), F.col("version"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -178,11 +203,10 @@ def judged_references(
     children = children.select(child_id, *ref_fields, time)
     parents = parents.select(parent_key, time, deleted)
     refs = first_references(children, child_id, ref_fields, time)
-    n_blocks = filter_blocks(parents.count())
-    if n_blocks * (BLOCK_BITS // 8) <= max_filter_bytes:
-        refs = might_exist(refs, "ref", bloom_blocks(parents, parent_key, n_blocks), n_blocks)
-    else:
-        refs = refs.withColumn("maybe", F.lit(True))
+    n_keys = parents.agg(F.approx_count_distinct(parent_key, 0.02)).first()[0]
+    n_blocks = filter_blocks(int(1.1 * n_keys))
+    probe = might_exist if n_blocks * (BLOCK_BITS // 8) <= max_filter_bytes else might_exist_by_block
+    refs = probe(refs, "ref", bloom_blocks(parents, parent_key, n_blocks), n_blocks)
     denied = refs.where(~F.col("maybe")).select(
         child_id, "ref_field", "ref", "t", F.lit("missing").alias("reason")
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.functions.text import first_json_array, segments
+from knotwork.runtime import staged
 
 # Relation by the types of an ordered pair.
 TYPE_PAIRS = {
@@ -19,14 +23,35 @@ TYPE_PAIRS = {
     ("FACILITY", "LOCATION"): "LOCATED_IN", ("PERSON", "WORK_OF_ART"): "CREATOR_OF",
     ("WORK_OF_ART", "PERSON"): "CREATED_BY",
 }
-# Verb phrases that stand between two tokens, by relation.
+# Phrases that stand between two words, by relation; a phrase takes one entry of every list in turn.
 PHRASES = {
-    "WORKS_FOR": (r"(?:works|worked|is employed|is working) (?:for|at|in|with)", r"is an? employee of", r"(?:joined|hired by)"),
-    "LOCATED_IN": (r"is (?:located|situated|based|found) in", r"(?:is in|is at|in the)"),
-    "PART_OF": (r"is (?:part of|a division of|a subsidiary of|a branch of)", r"(?:belongs to|is owned by)"),
-    "CREATOR_OF": (r"(?:created|developed|built|invented|designed)", r"is the (?:creator|author|developer|inventor) of"),
-    "OCCURRED_AT": (r"(?:occurred|happened|took place|was held) (?:in|at|on)", r"was (?:during|in|at)"),
+    "WORKS_FOR": (
+        (("works", "worked", "is employed", "is working"), ("for", "at", "in", "with")),
+        (("is a employee of", "is an employee of"),),
+        (("joined", "hired by"),),
+    ),
+    "LOCATED_IN": (
+        (("is located", "is situated", "is based", "is found"), ("in",)),
+        (("is in", "is at", "in the"),),
+    ),
+    "PART_OF": (
+        (("is part of", "is a division of", "is a subsidiary of", "is a branch of"),),
+        (("belongs to", "is owned by"),),
+    ),
+    "CREATOR_OF": (
+        (("created", "developed", "built", "invented", "designed"),),
+        (("is the",), ("creator", "author", "developer", "inventor"), ("of",)),
+    ),
+    "OCCURRED_AT": (
+        (("occurred", "happened", "took place", "was held"), ("in", "at", "on")),
+        (("was",), ("during", "in", "at")),
+    ),
 }
+WORD = re.compile(r"\w+")
+HIT = T.StructType([
+    T.StructField("document_id", T.StringType()), T.StructField("relationship", T.StringType()),
+    T.StructField("source_token", T.StringType()), T.StructField("target_token", T.StringType()), T.StructField("matched", T.StringType()),
+])
 BUCKET = 512
 
 
@@ -84,20 +109,46 @@ def cooccurrence(docs: DataFrame, entities: DataFrame, threshold: float = 0.5, i
     )
 
 
+def phrase_table() -> dict[str, list[tuple[int, str, tuple[str, ...]]]]:
+    """(group, relation, words) of every phrase, by its first word."""
+    out: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {}
+    group = 0
+    for relation, groups in PHRASES.items():
+        for lists in groups:
+            for parts in product(*lists):
+                words = tuple(" ".join(parts).split())
+                out.setdefault(words[0], []).append((group, relation, words))
+            group += 1
+    return out
+
+
+def phrase_hits(text: str, table: dict[str, list[tuple[int, str, tuple[str, ...]]]]) -> list[tuple[str, str, str, str]]:
+    """(relation, word before, word after, matched text) of every phrase; those of one group do not overlap."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in spans]
+    close = [text[a[1] : b[0]].isspace() for a, b in zip(spans, spans[1:], strict=False)]  # only white space up to the next word
+    out, taken = [], {}
+    for i in range(1, len(words)):
+        for group, relation, phrase in table.get(words[i], ()):
+            j = i + len(phrase)
+            if j < len(words) and i - 1 >= taken.get(group, 0) and tuple(words[i:j]) == phrase and all(close[i - 1 : j]):
+                (a, b), (c, d) = spans[i - 1], spans[j]
+                out.append((relation, text[a:b], text[c:d], text[a:d]))
+                taken[group] = j + 1
+    return out
+
+
 def rule_hits(docs: DataFrame, id_col: str = "document_id") -> DataFrame:
-    """(document_id, relationship, source_token, target_token, matched): token, verb phrase, token."""
-    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(document_id, relationship, source_token, target_token, matched): word, verb phrase, word; null texts have none."""
+    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), "text").where(F.col("text").isNotNull())
 
-    def hits(kind: str, phrase: str) -> Column:
-        pattern = F.lit(rf"(?i)\b([A-Za-z0-9_]+) {phrase} ([A-Za-z0-9_]+)\b")
-        s, t, m = (F.regexp_extract_all("text", pattern, F.lit(i)) for i in (1, 2, 0))
-        return F.transform(
-            F.arrays_zip(s.alias("s"), t.alias("t"), m.alias("m")),
-            lambda x: F.struct(F.lit(kind).alias("relationship"), x["s"].alias("source_token"), x["t"].alias("target_token"), x["m"].alias("matched")),
-        )
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = phrase_table()
+        for pdf in batches:
+            out = [(d, *h) for d, t in zip(pdf["document_id"], pdf["text"], strict=True) for h in phrase_hits(t, table)]
+            yield pd.DataFrame(out, columns=HIT.fieldNames())
 
-    parts = [hits(kind, p) for kind, phrases in PHRASES.items() for p in phrases]
-    return rows.select("document_id", F.explode(F.flatten(F.array(*parts))).alias("h")).select("document_id", "h.*")
+    return rows.mapInPandas(find, HIT)
 
 
 def rule_relations(docs: DataFrame, entities: DataFrame, id_col: str = "document_id") -> DataFrame:
@@ -106,7 +157,7 @@ def rule_relations(docs: DataFrame, entities: DataFrame, id_col: str = "document
     A token maps to the entity of equal text, else to one that contains it or is contained
     in it, ignoring case; the shortest, then the smallest text wins.
     """
-    hits = rule_hits(docs, id_col).withColumn("hit", F.monotonically_increasing_id())
+    hits = staged(rule_hits(docs, id_col).withColumn("hit", F.monotonically_increasing_id()), "hits")
     e = entities.select("document_id", F.col("text").alias("e_text"), F.col("type").alias("e_type")).distinct()
 
     def mapped(token: str, name: str) -> DataFrame:
@@ -125,14 +176,17 @@ def rule_relations(docs: DataFrame, entities: DataFrame, id_col: str = "document
 
 
 def pair_batches(mentions: DataFrame, batch: int = 10) -> DataFrame:
-    """(document_id, source, target, pair_id, batch_id): ordered pairs of the distinct mentions of a document."""
+    """(document_id, source, target, pair_id, batch_id): ordered pairs of the distinct mentions of a document.
+
+    The number of a pair follows from the places of its ends, so the pairs are never sorted.
+    """
     m = mentions.select("document_id", "text", "type").distinct()
-    m = m.withColumn("seq", F.row_number().over(Window.partitionBy("document_id").orderBy("text", "type")))
-    a = m.select("document_id", F.col("text").alias("source"), F.col("seq").alias("i"))
-    b = m.select("document_id", F.col("text").alias("target"), F.col("seq").alias("j"))
+    w = Window.partitionBy("document_id")
+    m = m.withColumn("seq", F.row_number().over(w.orderBy("text", "type")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    a = m.select("document_id", F.col("text").alias("source"), F.col("seq").cast("long").alias("i"), "n")
+    b = m.select("document_id", F.col("text").alias("target"), F.col("seq").cast("long").alias("j"))
     pairs = a.join(b, "document_id").where("i < j")
-    w = Window.partitionBy("document_id").orderBy("i", "j")
-    pairs = pairs.withColumn("pair_id", F.row_number().over(w) - 1)
+    pairs = pairs.withColumn("pair_id", F.expr("i * (2 * n - i - 1) div 2 + j - i - 1"))
     return pairs.select("document_id", "source", "target", "pair_id", F.floor(F.col("pair_id") / batch).alias("batch_id"))
 
 
@@ -160,27 +214,56 @@ def model_relations(batches: DataFrame, ask: Callable[[str], str], threshold: fl
     return rows.where(F.coalesce("confidence", F.lit(0.0)) >= threshold)
 
 
-def cross_document(nodes: DataFrame, least_common: int = 2) -> DataFrame:
-    """Pairs of nodes that share documents, with the Jaccard of their document sets.
+def document_classes(nodes: DataFrame) -> DataFrame:
+    """(node_id, class, documents): nodes of one set of documents are one class, named by its smallest node_id."""
+    sets = nodes.select("node_id", F.array_sort(F.array_distinct(F.filter("documents", lambda x: x.isNotNull()))).alias("documents"))
+    sets = sets.where(F.size("documents") > 0).withColumn("h", F.xxhash64("documents"))
+    first = sets.groupBy("h").agg(F.min("node_id").alias("class"))
+    return sets.join(first, "h").select("node_id", "class", "documents")
+
 
-    ``nodes``: node_id, documents. Pairs are counted over shared documents, so only nodes
-    that share at least one meet.
+def cross_document(nodes: DataFrame, least_common: int = 2, block: int = 512) -> DataFrame:
+    """Pairs of classes of nodes that share documents, with the Jaccard of their document sets.
+
+    ``nodes``: node_id, documents. A class (see ``document_classes``) stands for all nodes of
+    one document set; its nodes are related to each other with confidence 1. The classes of a
+    document are split into blocks of about ``block``, and every pair of blocks is a key of
+    its own, so a common document is spread over many tasks.
     """
-    d = nodes.select("node_id", F.explode(F.array_distinct(F.filter("documents", lambda x: x.isNotNull()))).alias("document"))
-    n = d.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = d.withColumnRenamed("node_id", "node_a"), d.withColumnRenamed("node_id", "node_b")
-    both = a.join(b, "document").where("node_a < node_b").groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("common"))
-    both = both.where(F.col("common") >= least_common)
-    both = both.join(n.select(F.col("node_id").alias("node_a"), F.col("n").alias("na")), "node_a").join(n.select(F.col("node_id").alias("node_b"), F.col("n").alias("nb")), "node_b")
+    kinds = document_classes(nodes).where("node_id = class").where(F.size("documents") >= least_common)
+    d = kinds.select("class", F.size("documents").alias("n"), F.explode("documents").alias("document"))
+    d = staged(d, "classes")
+    size = d.groupBy("document").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    d = d.join(size, "document").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("class", "n", "own", F.struct("document", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("cell"))
+    a = d.select(F.col("class").alias("node_a"), F.col("n").alias("na"), F.col("own").alias("oa"), "cell")
+    b = d.select(F.col("class").alias("node_b"), F.col("n").alias("nb"), F.col("own").alias("ob"), "cell")
+    # in a cell of two blocks only pairs across them count, in a cell of one block all
+    met = a.join(b, "cell").where("node_a < node_b and (cell.x = cell.y or oa <> ob)")
+    both = met.groupBy("node_a", "node_b", "na", "nb").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least_common)
     return both.select("node_a", "node_b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("confidence"))
 
 
+def row_classes(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, class): rows that agree in all columns (nulls included) are one class, named by its smallest key."""
+    cells = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
+    named = rows.select(F.col(key).alias("key"), F.xxhash64(cells).alias("h"))
+    first = named.groupBy("h").agg(F.min("key").alias("class"))
+    return named.join(first, "h").select("key", "class")
+
+
 def row_similarity(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(a, b, shared_columns, weight): rows of a table that agree in at least one non-null column."""
-    cells = rows.select(F.col(key), F.explode(F.array(*[
+    """(a, b, shared_columns, weight): classes of rows that agree in at least one non-null column, a < b.
+
+    Rows that agree in all columns are one class (see ``row_classes``), so a common value
+    pairs the distinct rows that hold it, never all rows.
+    """
+    kinds = rows.groupBy(*columns).agg(F.min(key).alias("class"))
+    cells = kinds.select("class", F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("c")).where("c.value is not null")
-    a, b = cells.select(F.col(key).alias("a"), "c"), cells.select(F.col(key).alias("b"), "c")
+    a, b = cells.select(F.col("class").alias("a"), "c"), cells.select(F.col("class").alias("b"), "c")
     both = a.join(b, "c").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("c.name")).alias("names"))
     return both.select("a", "b", F.array_join("names", "_").alias("shared_columns"), (F.size("names") / len(columns)).alias("weight"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.text import char_ngrams, jaccard, node_id
-from knotwork.functions.vectors import cosine
-from knotwork.operators.nested import latest_rows
+from knotwork.functions.text import char_ngrams, node_id
+from knotwork.operators.nested import latest_rows, merged_metadata, metadata_json
+from knotwork.operators.retrieval import similarity_edges
 from knotwork.runtime import staged
 
 NODE_COLUMNS = ["text", "type", "occurrences", "documents", "contexts", "metadata", "deleted_at"]
@@ -31,20 +31,26 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(short, long, type, similarity): texts of one type of which one contains the other, by trigram Jaccard.
 
     ``texts``: text, type; compared in lower case. Every trigram of the contained text is
-    one of the other, so the first trigram of the short text meets all trigrams of the long
-    one; texts below three characters meet over their first character.
+    one of the other, so the similarity is the ratio of their numbers of distinct trigrams:
+    a short text meets only texts that hold its first trigram and one of the few numbers of
+    trigrams that reach the threshold. Texts below three characters meet in the same way over
+    characters.
     """
     t = texts.select(F.lower("text").alias("text"), "type").where(F.col("text") != "").distinct()
-    first = F.substring("text", 1, F.when(F.length("text") >= 3, F.lit(3)).otherwise(F.lit(1)))
-    a = t.select(F.col("text").alias("short"), "type", first.alias("gram"))
-    keys = F.array_union(char_ngrams(F.col("text")), char_ngrams(F.col("text"), 1))
-    b = t.select(F.col("text").alias("long"), "type", F.explode(keys).alias("gram"))
-    pairs = a.join(b, ["type", "gram"]).where("length(short) < length(long)").where(F.contains("long", "short"))
-    tiny = F.length("short") < 3
-    left = F.when(tiny, char_ngrams(F.col("short"), 1)).otherwise(char_ngrams(F.col("short")))
-    right = F.when(tiny, char_ngrams(F.col("long"), 1)).otherwise(char_ngrams(F.col("long")))
-    pairs = pairs.withColumn("similarity", jaccard(left, right))
-    return pairs.where(F.col("similarity") >= threshold).select("short", "long", "type", "similarity").distinct()
+    tiny = F.length("text") < 3
+    t = t.select("text", "type", char_ngrams(F.col("text")).alias("grams"), char_ngrams(F.col("text"), 1).alias("chars"))
+
+    def side(grams: str, unit: int) -> Column:
+        return F.struct(F.lit(unit).alias("unit"), F.col(grams).alias("grams"), F.size(grams).alias("n"))
+
+    a = t.withColumn("s", F.when(tiny, side("chars", 1)).otherwise(side("grams", 3)))
+    a = a.withColumn("m", F.explode(F.sequence(F.col("s.n"), F.floor(F.col("s.n") / threshold + 1e-9).cast("int"))))
+    a = a.select(F.col("text").alias("short"), "type", F.col("s.unit").alias("unit"), F.col("s.grams")[0].alias("gram"), "m", F.col("s.n").alias("ns"))
+    b = t.withColumn("s", F.explode(F.array(side("chars", 1), side("grams", 3))))
+    b = b.where((F.col("s.unit") == 1) | (F.length("text") >= 3))
+    b = b.select(F.col("text").alias("long"), "type", F.col("s.unit").alias("unit"), F.col("s.n").alias("m"), F.explode("s.grams").alias("gram"))
+    pairs = a.join(b, ["type", "unit", "gram", "m"]).where("length(short) < length(long)").where(F.contains("long", "short"))
+    return pairs.withColumn("similarity", F.col("ns") / F.col("m")).where(F.col("similarity") >= threshold).select("short", "long", "type", "similarity").distinct()
 
 
 def canonical_near(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -55,42 +61,64 @@ def canonical_near(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     return best.select(F.col("long").alias("text"), "type", F.col("short").alias("canonical"))
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
-    """(a, b, similarity): vectors of one type (and block) with a cosine of at least ``threshold``."""
-    v = vectors.select("id", "type", "embedding", (block if block is not None else F.lit(0)).alias("block"))
-    a = v.select(F.col("id").alias("a"), "type", "block", F.col("embedding").alias("ea"))
-    b = v.select(F.col("id").alias("b"), "type", "block", F.col("embedding").alias("eb"))
-    pairs = a.join(b, ["type", "block"]).where("a < b").withColumn("similarity", cosine(F.col("ea"), F.col("eb")))
-    return pairs.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity): vectors of one type with a cosine of at least ``threshold``, a < b.
+
+    ``vectors``: id, type, embedding. Blocks of vectors meet on a grid (see
+    ``retrieval.similarity_edges``); vectors of different length, null and zero ones make no pair.
+    """
+    return similarity_edges(vectors, threshold, kind="type", strict=False)
 
 
 def upsert_nodes(mentions: DataFrame) -> DataFrame:
-    """Nodes of mentions: occurrences, distinct documents and contexts of every (text ignoring case, type).
+    """Nodes of mentions: occurrences, distinct documents, contexts and metadata of every (text ignoring case, type).
 
-    ``mentions``: document_id, text, type, start_pos, end_pos. The first mention in
-    (document_id, start_pos, text) order gives the text and thereby the node_id.
+    ``mentions``: document_id, text, type, start_pos, end_pos and, if there, metadata (JSON).
+    The first mention in (document_id, start_pos, text) order gives the text and thereby the
+    node_id. Mentions are combined per document first; ``mention_nodes`` gives the same links
+    as a child table without any arrays.
     """
-    order = F.struct("document_id", "start_pos", "text")
-    rows = mentions.where(F.col("text").isNotNull() & F.col("type").isNotNull())
+    rows = mentions.where(F.col("text").isNotNull() & F.col("type").isNotNull()).withColumn("folded", F.lower("text"))
     context = F.struct(F.col("document_id").alias("document"), "start_pos", "end_pos")
-    n = rows.groupBy(F.lower("text").alias("folded"), "type").agg(
-        F.min_by("text", order).alias("text"), F.count(F.lit(1)).alias("occurrences"),
-        F.array_sort(F.collect_set("document_id")).alias("documents"), F.array_sort(F.collect_list(context)).alias("contexts"),
+    per = rows.groupBy("folded", "type", "document_id").agg(
+        F.min(F.struct("document_id", "start_pos", "text")).alias("first"), F.count(F.lit(1)).alias("occurrences"),
+        F.array_sort(F.collect_list(context)).alias("contexts"),
+    )
+    n = per.groupBy("folded", "type").agg(
+        F.min("first").alias("first"), F.sum("occurrences").alias("occurrences"),
+        F.array_sort(F.collect_list("document_id")).alias("documents"),
+        F.transform(F.array_sort(F.collect_list(F.struct("document_id", "contexts"))), lambda x: x["contexts"]).alias("contexts"),
     )
-    return n.select(node_id(F.col("text"), F.col("type")).alias("node_id"), "text", "type", "occurrences", "documents", "contexts")
+    n = n.select(
+        "folded", node_id(F.col("first.text"), F.col("type")).alias("node_id"), F.col("first.text").alias("text"), "type", "occurrences",
+        "documents", F.flatten("contexts").alias("contexts"),
+    )
+    if "metadata" not in mentions.columns:
+        return n.drop("folded").withColumn("metadata", F.lit(None).cast("string"))
+    m = metadata_json(merged_metadata(rows, ["folded", "type"], "metadata"), ["folded", "type"])
+    return n.join(m, ["folded", "type"], "left").drop("folded")
+
 
+def mention_nodes(mentions: DataFrame) -> DataFrame:
+    """(node_id, document_id, start_pos, end_pos): the node of every mention; no row grows with a node's mentions."""
+    rows = mentions.where(F.col("text").isNotNull() & F.col("type").isNotNull()).withColumn("folded", F.lower("text"))
+    first = rows.groupBy("folded", "type").agg(F.min(F.struct("document_id", "start_pos", "text")).alias("f"))
+    ids = first.select("folded", "type", node_id(F.col("f.text"), F.col("type")).alias("node_id"))
+    return rows.join(ids, ["folded", "type"]).select("node_id", "document_id", "start_pos", "end_pos")
 
-def merged_metadata(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, field, values): distinct sorted values of every top-level field of JSON metadata."""
-    e = rows.select(F.col(key), F.explode(F.from_json(column, "map<string,string>")).alias("field", "value"))
-    return e.where("value is not null").groupBy(key, "field").agg(F.array_sort(F.collect_set("value")).alias("values"))
+
+def distinct_elements(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column): the distinct non-null elements of an array column over all rows of a key, sorted; exploded before they are grouped."""
+    e = rows.select(key, F.explode(column).alias("e")).where("e is not null").distinct()
+    return e.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias(column))
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after the merge of ``aliases`` (alias, primary); a self-merge changes nothing.
 
-    Merged nodes sum occurrences and unite documents and contexts; edges follow to the
-    primary node, self-loops that arise are dropped, and edges that become equal are merged.
+    Merged nodes sum occurrences and unite documents and, where the table has them, contexts
+    and metadata (see ``merged_metadata``); edges follow to the primary node, self-loops that
+    arise are dropped, and edges that become equal are merged.
     """
     from knotwork.operators.edges import edge_id, upsert_edges
 
@@ -100,8 +128,14 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple
     merged = n.groupBy("to").agg(
         F.coalesce(F.max(F.when(own, F.col("text"))), F.min("text")).alias("text"), F.coalesce(F.max(F.when(own, F.col("type"))), F.min("type")).alias("type"),
         F.sum(F.coalesce("occurrences", F.lit(0))).alias("occurrences"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("documents", F.array().cast("array<string>")))))).alias("documents"),
-    ).withColumnRenamed("to", "node_id")
+    )
+    for column in ("documents", "contexts"):
+        if column in nodes.columns:
+            none = F.array().cast(nodes.schema[column].dataType)
+            merged = merged.join(distinct_elements(n, "to", column), "to", "left").withColumn(column, F.coalesce(column, none))
+    if "metadata" in nodes.columns:
+        merged = merged.join(metadata_json(merged_metadata(n, "to", "metadata"), ["to"]), "to", "left")
+    merged = merged.withColumnRenamed("to", "node_id")
     s = al.select(F.col("alias").alias("source_id"), F.col("primary").alias("s_to"))
     t = al.select(F.col("alias").alias("target_id"), F.col("primary").alias("t_to"))
     e = edges.join(s, "source_id", "left").join(t, "target_id", "left")
@@ -132,19 +166,20 @@ def node_of_text(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return t.join(n, "folded").select("text", F.col("b.node_id").alias("node_id"))
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(id, root): connected components of links (a, b) by label propagation to the smallest id.
 
     Labels are staged after every round; only the number of changed labels reaches the driver.
+    Runs until no label changes; more than ``most_rounds`` rounds are an error.
     """
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"), "labels")
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         nxt = label.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
         up = nxt.select(F.col("id").alias("root"), F.col("root").alias("above"))
         nxt = staged(nxt.join(up, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "moved"), "labels")
         label = nxt.select("id", "root")
         if nxt.where("moved").limit(1).count() == 0:
-            break
-    return label
+            return label
+    raise RuntimeError("the components did not settle")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.config import Config
 from knotwork.functions.text import chunks, uuid5
+from knotwork.functions.vectors import embedded
 from knotwork.operators import edges as E
 from knotwork.operators import extract, graph, relate, resolve
 from knotwork.runtime import staged
@@ -14,7 +17,7 @@ from knotwork.sources.store import Store
 
 
 def process_documents(docs: DataFrame, config: Config | None = None, terms: DataFrame | None = None, types: tuple[str, ...] = ("PERSON", "ORGANIZATION", "EMAIL", "PHONE", "DATE", "URL")) -> dict[str, DataFrame]:
-    """Tables chunks, mentions, nodes, edges and links of documents (document_id, text).
+    """Tables chunks, mentions, relations, nodes, edges and links of documents (document_id, text).
 
     Mentions come from the rules and, if given, a gazetteer (text, type); relations from
     proximity, co-occurrence and rule phrases. Mentions are staged, since all later steps
@@ -32,31 +35,38 @@ def process_documents(docs: DataFrame, config: Config | None = None, terms: Data
     cols = ["document_id", "source", "source_type", "target", "target_type", "relationship", "confidence"]
     r = relate.proximity(found, config.proximity).select(*cols, F.lit(False).alias("bidirectional"))
     r = r.unionByName(relate.cooccurrence(docs, found, config.confidence_threshold).select(*cols, F.lit(True).alias("bidirectional")))
-    r = r.unionByName(relate.rule_relations(docs, found).select(*cols, F.lit(False).alias("bidirectional")))
+    r = staged(r.unionByName(relate.rule_relations(docs, found).select(*cols, F.lit(False).alias("bidirectional"))), "relations")
+    r = r.where(F.col("confidence") >= config.confidence_threshold)
     edges = E.upsert_edges(E.with_inverse(E.build_edges(r, nodes, config.confidence_threshold)))
     links = graph.entity_chunk_links(nodes, chunk, config.chunk_size, config.chunk_overlap)
-    return {"chunks": chunk, "mentions": found, "nodes": nodes, "edges": edges, "links": links}
+    return {"chunks": chunk, "mentions": found, "relations": r, "nodes": nodes, "edges": edges, "links": links}
+
 
+def ingest(
+    store: Store, docs: DataFrame, config: Config | None = None, terms: DataFrame | None = None, *,
+    origin: str | None = None, embed: Callable[[str], list[float]] | None = None,
+) -> int:
+    """Add documents to a store as one batch and give its number; a document that is there already is replaced.
 
-def ingest(store: Store, docs: DataFrame, config: Config | None = None, terms: DataFrame | None = None) -> None:
-    """Add documents to a store: known nodes and edges are merged with the new ones."""
+    The documents are written last, so a batch that broke off is not seen, and the batch of
+    an ``origin`` that was seen before is written again in its place.
+    """
+    config = config or Config()
+    docs = docs.where(F.col("document_id").isNotNull()).dropDuplicates(["document_id"])
+    batch = store.batch_of(origin)
     new = process_documents(docs, config, terms)
-    spark = docs.sparkSession
-    if store.exists("nodes"):
-        old = store.read("nodes")
-        both = old.unionByName(new["nodes"])
-        known = both.groupBy("node_id").agg(
-            F.max("text").alias("text"), F.max("type").alias("type"), F.sum("occurrences").alias("occurrences"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"),
-        )
-        new["nodes"] = staged(known, "nodes")
-    if store.exists("edges"):
-        new["edges"] = staged(E.upsert_edges(store.read("edges").unionByName(new["edges"])), "edges")
-    store.write("nodes", new["nodes"])
-    store.write("edges", new["edges"])
-    for name in ("chunks", "mentions", "links"):
-        store.upsert(name, new[name])
-    kept = [c for c in ("document_id", "text", "title", "file_type", "path") if c in docs.columns]
-    store.upsert("documents", docs.select(*kept))
-    spark.catalog.clearCache()
+    chunk = staged(new["chunks"], "chunks")
+    vectors = chunk.select(F.col("chunk_id").alias("id"), "document_id", embedded(F.col("content"), embed, config.embedding_chars).alias("embedding"))
+    for name, rows in (("chunks", chunk), ("mentions", new["mentions"]), ("relations", new["relations"]), ("embeddings", vectors), ("documents", docs)):
+        store.append(name, rows, batch)
+    return batch
+
+
+def import_totals(store: Store, batch: int) -> DataFrame:
+    """(documents, failed, chunks, mentions, relations) of a batch; a document without text has failed."""
+    docs = store.log("documents").where(F.col("batch") == batch)
+    out = docs.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.coalesce(F.trim("text"), F.lit("")) == "", F.lit(1))).alias("failed"))
+    for name in ("chunks", "mentions", "relations"):
+        n = store.log(name).where(F.col("batch") == batch).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(n, F.lit(True))  # one row each
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as X
@@ -12,6 +12,7 @@ from knotwork.operators import extract, graph, relate, resolve, retrieval, stats
 from knotwork.plans.reference_sql import ORACLE
 from knotwork.plans.star import star_graph
 from knotwork.runtime import staged, table
+from knotwork.sources.files import csv_rows_as_text
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -45,8 +46,8 @@ def extract_rule_mentions(spark, d):
 
 
 def mention_spans(spark, d):
-    m = extract.rule_mentions(_docs(spark, d), ("PERSON",))
-    return m.select("document_id", "text", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+    m = _mentions(spark, d)
+    return m.select("document_id", "type", "text", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
 
 
 def truncate_inputs(spark, d):
@@ -92,8 +93,16 @@ def resolve_exact(spark, d):
 
 
 def resolve_near_dup(spark, d):
-    n = _nodes(spark, d).where("length(text) = octet_length(text)")
-    return resolve.near_duplicates(n).select("short", "long", "type", F.round("similarity", 6).alias("similarity"))
+    return resolve.near_duplicates(_nodes(spark, d)).select("short", "long", "type", F.round("similarity", 6).alias("similarity"))
+
+
+def resolve_canonical(spark, d):
+    return resolve.canonical_near(_nodes(spark, d))
+
+
+def embedding_duplicates(spark, d):
+    v = _emb(spark, d).withColumn("type", F.col("label").cast("string"))
+    return resolve.embedding_duplicates(v, 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def node_upsert(spark, d):
@@ -101,6 +110,35 @@ def node_upsert(spark, d):
     return n.select("node_id", "text", "type", "occurrences", F.array_join("documents", ",").alias("documents"), F.size("contexts").cast("long").alias("n_contexts"))
 
 
+def mention_node_links(spark, d):
+    m = resolve.mention_nodes(_mentions(spark, d))
+    return m.groupBy("node_id", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_pos").cast("long").alias("first_pos"))
+
+
+def _divisible(c: str) -> Column:
+    """Ids divisible by 20; an id in hexadecimal digits counts as its first eight."""
+    return F.conv(F.substring(c, 1, 8), 16, 10).cast("long") % 20 == 0
+
+
+def node_remove(spark, d):
+    n = _nodes(spark, d)
+    return resolve.remove_nodes(n, _edges(spark, d), n.where(_divisible("node_id")))[0].select("node_id", "text", "type")
+
+
+def node_remove_edges(spark, d):
+    n = _nodes(spark, d)
+    return resolve.remove_nodes(n, _edges(spark, d), n.where(_divisible("node_id")))[1].select("edge_id", "source_id", "target_id")
+
+
+def edge_remove(spark, d):
+    e = _edges(spark, d)
+    return E.remove_edges(e, e.where(_divisible("edge_id")))[0].select("edge_id", "type")
+
+
+def confidence_cut(spark, d):
+    return E.confidence_cut(_edges(spark, d), 0.8)
+
+
 def nodes_by_type(spark, d):
     return _nodes(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("occurrences").alias("occurrences"))
 
@@ -111,7 +149,7 @@ def nodes_by_document(spark, d):
 
 def node_lookup(spark, d):
     n = _nodes(spark, d)
-    return resolve.node_of_text(n, n.where("type = 'ORGANIZATION'").select("text"))
+    return resolve.node_of_text(n, n.select("text"))
 
 
 def _aliases(n: DataFrame) -> DataFrame:
@@ -137,19 +175,21 @@ def metadata_merge(spark, d):
     return m.select("edge_id", "field", F.array_join("values", ",").alias("values"))
 
 
-def _concepts(n: DataFrame) -> DataFrame:
-    return n.where("type = 'CONCEPT' and length(text) >= 4").select("text", "type")
+def _terms(n: DataFrame) -> DataFrame:
+    return n.select("text", "type")
+
+
+def _terms_found(spark, d) -> DataFrame:
+    return extract.gazetteer_mentions(_docs(spark, d), _terms(_nodes(spark, d)))
 
 
 def gazetteer_mentions(spark, d):
-    m = extract.gazetteer_mentions(_docs(spark, d), _concepts(_nodes(spark, d)))
-    return m.groupBy("document_id", "text").agg(F.min("start_pos").cast("long").alias("first_pos"))
+    return _terms_found(spark, d).groupBy("document_id", "text", "type").agg(F.min("start_pos").cast("long").alias("first_pos"))
 
 
 def cooccurrence_relations(spark, d):
-    m = extract.gazetteer_mentions(_docs(spark, d), _concepts(_nodes(spark, d)))
-    r = relate.cooccurrence(_docs(spark, d), m, 0.5)
-    return r.select("document_id", "source", "target", "relationship", F.round("confidence", 6).alias("confidence"), "common_segments")
+    r = relate.cooccurrence(_docs(spark, d), staged(_terms_found(spark, d), "mentions"), 0.5)
+    return r.select("document_id", "source", "source_type", "target", "target_type", "relationship", F.round("confidence", 6).alias("confidence"), "common_segments")
 
 
 def _contexts(n: DataFrame) -> DataFrame:
@@ -162,14 +202,32 @@ def proximity_relations(spark, d):
     return r.select("document_id", "source", "target", "relationship", F.col("distance").cast("long").alias("distance"), F.round("confidence", 6).alias("confidence"))
 
 
+# A phrase of every relation that the rules know, by the type of an edge.
+SPOKEN = {"WORKS_FOR": "works for", "LOCATED_IN": "is located in", "PART_OF": "is part of", "CREATOR_OF": "developed", "OCCURRED_AT": "took place in"}
+
+
+def _sentences(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every named edge of a type that the rules know as a sentence (document_id is its edge_id), and the entities of each."""
+    said = F.create_map(*[F.lit(x) for kv in SPOKEN.items() for x in kv])[F.col("type")]
+    e = graph.named_edges(_edges(spark, d), _nodes(spark, d)).withColumn("said", said).where("said is not null")
+    text = F.concat("source_text", F.lit(" "), "said", F.lit(" "), "target_text", F.lit("."))
+    ends = [F.struct(F.col(f"{x}_text").alias("text"), F.col(f"{x}_type").alias("type")) for x in ("source", "target")]
+    entities = e.select(F.col("edge_id").alias("document_id"), F.explode(F.array(*ends)).alias("x")).select("document_id", "x.text", "x.type")
+    return e.select(F.col("edge_id").alias("document_id"), text.alias("text")), entities
+
+
 def rule_relation_hits(spark, d):
-    h = relate.rule_hits(_docs(spark, d).withColumn("text", extract.ascii_form(F.col("text"))))
+    h = relate.rule_hits(_docs(spark, d).select("document_id", "text").unionByName(_sentences(spark, d)[0]))
     return h.groupBy("relationship", "source_token", "target_token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_relations(spark, d):
+    r = relate.rule_relations(*_sentences(spark, d))
+    return r.select("document_id", "source", "source_type", "target", "target_type", "relationship")
+
+
 def pair_batches(spark, d):
-    m = extract.gazetteer_mentions(_docs(spark, d), _concepts(_nodes(spark, d)))
-    p = relate.pair_batches(m)
+    p = relate.pair_batches(_terms_found(spark, d))
     return p.groupBy("document_id", "batch_id").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -178,21 +236,41 @@ def cross_document_relations(spark, d):
     return r.select("node_a", "node_b", "common", F.round("confidence", 6).alias("confidence"))
 
 
+def cross_document_classes(spark, d):
+    return relate.document_classes(_nodes(spark, d)).select("node_id", "class")
+
+
+def _suppliers(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("balance"))
+
+
 def tabular_row_similarity(spark, d):
-    r = relate.row_similarity(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("balance")), "s_suppkey", ["s_nationkey", "balance"])
+    r = relate.row_similarity(_suppliers(spark, d), "s_suppkey", ["s_nationkey", "balance"])
     return r.select("a", "b", "shared_columns", F.round("weight", 6).alias("weight"))
 
 
+def tabular_row_classes(spark, d):
+    return relate.row_classes(_suppliers(spark, d), "s_suppkey", ["s_nationkey", "balance"])
+
+
 def rows_to_text(spark, d):
-    n = table(spark, d, "customer")
-    return n.select("c_custkey", F.concat(F.lit("c_name: "), "c_name", F.lit(", c_mktsegment: "), "c_mktsegment").alias("line"))
+    return csv_rows_as_text(table(spark, d, "customer"), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])
 
 
 def json_reply_parse(spark, d):
-    e = F.to_json(F.struct("text", "type", F.lit("x").alias("start_pos")))
-    n = _nodes(spark, d).where("text is not null").select("node_id", F.concat(F.lit("Sure: ["), e, F.lit(', {"text": "no type"}] done')).alias("reply"))
-    m = extract.reply_mentions(n, "node_id")
-    return m.select(F.col("document_id").alias("node_id"), "text", "type", F.col("start_pos").cast("long").alias("start_pos"))
+    """Replies of changing shape round the nodes: plain, in prose, broken off, without a type, with positions as text, or no array at all."""
+    e = F.to_json(F.struct("text", "type", F.length("text").cast("string").alias("end_pos")))
+    kind = F.conv(F.substring("node_id", 1, 2), 16, 10).cast("int") % 5
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("["), e, F.lit("]")))
+        .when(kind == 1, F.concat(F.lit("Sure:\n[ "), e, F.lit(', {"text": "no type"}, '), e, F.lit("]\ndone")))
+        .when(kind == 2, F.concat(F.lit("["), e))
+        .when(kind == 3, F.concat(F.lit("["), F.to_json(F.struct("text", "type", F.lit("first").alias("start_pos"))), F.lit("]")))
+        .otherwise(F.lit("There are none."))
+    )
+    n = _nodes(spark, d).where("text is not null").select("node_id", reply.alias("reply"))
+    m = extract.reply_mentions(n, "node_id").groupBy("document_id", "text", "type", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("n"))
+    return m.select(F.col("document_id").alias("node_id"), "text", "type", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), "n")
 
 
 def _relations(spark, d):
@@ -222,7 +300,7 @@ def edges_by_node(spark, d):
 
 def edges_between(spark, d):
     e = _edges(spark, d)
-    return E.between(e, e.where("type = 'WORKS_FOR'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))).select("edge_id", "type")
+    return E.between(e, e.where(_divisible("edge_id")).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))).select("edge_id", "type")
 
 
 def edges_filter_confidence(spark, d):
@@ -244,31 +322,28 @@ def query_relationships(spark, d):
 
 def entity_relationships(spark, d):
     n = _nodes(spark, d)
-    return graph.entity_relationships(_edges(spark, d), n, n.where("type = 'EVENT'"), min_confidence=0.5).select("node_id", "direction", "edge_id", "neighbour_text")
+    return graph.entity_relationships(_edges(spark, d), n, n, min_confidence=0.5).select("node_id", "direction", "edge_id", "neighbour_text")
 
 
 def _path_pairs(n: DataFrame) -> DataFrame:
-    e = n.where("type = 'EVENT' and occurrences >= 3").select(F.col("node_id").alias("source"))
-    p = n.where("type = 'PRODUCT' and occurrences >= 4").select(F.col("node_id").alias("target"))
-    return e.join(p, F.lit(True)).where("substring(source, 1, 1) = substring(target, 1, 1)")
+    """Every node whose id is divisible by 20, with the next such node of its bucket in the order of ids."""
+    w = Window.partitionBy(F.substring("node_id", 1, 2)).orderBy("node_id")
+    return n.where(_divisible("node_id")).select(F.col("node_id").alias("source"), F.lead("node_id").over(w).alias("target"))
 
 
 def shortest_path(spark, d):
-    n = _nodes(spark, d)
-    p = graph.shortest_paths(_edges(spark, d), _path_pairs(n), 3, 0.5)
+    p = graph.shortest_paths(_edges(spark, d), _path_pairs(_nodes(spark, d)), 3, 0.5)
     return p.select("source", "target", F.col("hops").cast("long").alias("hops"), F.size("edge_ids").cast("long").alias("n_edges"))
 
 
 def paths_all_simple(spark, d):
     nodes, edges = star_graph(spark, d)
-    start = nodes.where("type = 'REGION'").select(F.col("node_id").alias("source"))
-    ends = nodes.where("type = 'SUPPLIER'").select(F.col("node_id").alias("target"))
-    p = graph.simple_paths(edges.where("type <> 'CREATED_BY'"), start.join(ends, F.lit(True)), 3)
+    p = graph.simple_paths(edges, nodes.where("type = 'REGION'"), nodes.where("type = 'SUPPLIER'"), 3)
     return p.select("source", "target", F.array_join("nodes", ">").alias("nodes"))
 
 
 def _centres(n: DataFrame) -> DataFrame:
-    return n.where("type = 'EVENT' and occurrences >= 3").select("node_id")
+    return n.where(_divisible("node_id")).select("node_id")
 
 
 def ego_network_nodes(spark, d):
@@ -311,14 +386,13 @@ def document_entities(spark, d):
 
 
 def entity_documents(spark, d):
-    n = resolve.nodes_by_document(_nodes(spark, d)).where("type = 'ORGANIZATION'")
+    n = resolve.nodes_by_document(_nodes(spark, d))
     docs = table(spark, d, "documents").select(F.col("document_id").alias("document"), "lang")
     return n.join(docs, "document").groupBy("node_id").agg(F.count(F.lit(1)).alias("n_documents"), F.countDistinct("lang").alias("n_langs"))
 
 
 def entity_chunk_links(spark, d):
-    docs = _docs(spark, d).where("text <> ''")
-    c = docs.select("document_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 800).cast("int"))).alias("chunk_index"))
+    c = _docs(spark, d).select("document_id", F.explode(X.chunks(F.col("text"))["chunk_index"]).alias("chunk_index"))
     return graph.entity_chunk_links(_nodes(spark, d), c).select("node_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
@@ -345,7 +419,7 @@ def vector_normalize(spark, d):
 
 
 def pairwise_similarity_edges(spark, d):
-    return retrieval.similarity_edges(_emb(spark, d), "label", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return retrieval.similarity_edges(_emb(spark, d), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _items(spark, d):
@@ -357,22 +431,22 @@ def _keyword_docs(spark, d):
 
 
 def bm25_topk(spark, d):
-    s = retrieval.keyword_scores(_items(spark, d), _keyword_docs(spark, d))
-    return retrieval.ranked(s, "score", 5).select("query_id", "id", F.round("score", 4).alias("score"))
+    return retrieval.keyword_top(_items(spark, d), _keyword_docs(spark, d), 5).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
 def _vector_hits(spark, d, limit=10):
-    v = table(spark, d, "chunk_vectors").where("chunk_index = 0 and size(embedding) = 64 and forall(embedding, x -> not isnan(x)) and exists(embedding, x -> x <> 0)")
-    v = v.groupBy("document_id").agg(F.min("embedding").alias("embedding"))
-    docs = table(spark, d, "documents").select("document_id", "doc_id")
+    """The documents nearest to every document whose doc_id is divisible by 20: all chunk vectors count, a document by its best."""
+    v = table(spark, d, "chunk_vectors").where("size(embedding) = 64 and forall(embedding, x -> not isnan(x)) and exists(embedding, x -> x <> 0)")
+    v = v.groupBy("document_id", "chunk_index").agg(F.min("embedding").alias("embedding"))
+    docs = table(spark, d, "documents").select("document_id", "doc_id").distinct()
     q = v.join(docs, "document_id").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    return retrieval.nearest(q, v.withColumnRenamed("document_id", "id"), limit)
+    return retrieval.nearest(q, v.select(F.col("document_id").alias("id"), "embedding"), limit)
 
 
 def hybrid_search(spark, d):
     near = _vector_hits(spark, d)
-    q = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 8), " ").alias("text"))
-    words = retrieval.ranked(retrieval.keyword_scores(q, _keyword_docs(spark, d)), "score", 10)
+    q = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), "text")
+    words = retrieval.keyword_top(q, _keyword_docs(spark, d), 10)
     f = retrieval.fused(near, words, 0.5, 10)
     return f.select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -381,7 +455,7 @@ def graph_augmented_search(spark, d):
     hits = _vector_hits(spark, d).select("query_id", F.col("id").alias("document_id"), "rank")
     n = _nodes(spark, d)
     docs = table(spark, d, "documents").where("doc_id % 20 = 0").select("document_id", F.col("doc_id").alias("query_id"))
-    m = _contexts(n).where("type = 'ORGANIZATION'").select("document_id", "text", "type").distinct().join(docs, "document_id").select("query_id", "text", "type")
+    m = _contexts(n).select("document_id", "text", "type").distinct().join(docs, "document_id").select("query_id", "text", "type")
     r = retrieval.graph_augmented(hits, m, n, _edges(spark, d), 10)
     return r.select("query_id", "document_id", "result_type", F.col("rank").cast("long").alias("rank"))
 
@@ -396,9 +470,10 @@ def export_network_edges(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     extract_rule_mentions, mention_spans, truncate_inputs, sentence_segments, chunk_documents, fixed_chunks, chunk_ids, node_ids,
-    trigram_jaccard, resolve_exact, resolve_near_dup, node_upsert, nodes_by_type, nodes_by_document, node_lookup, node_merge,
-    node_merge_edges, metadata_merge, gazetteer_mentions, cooccurrence_relations, proximity_relations, rule_relation_hits,
-    pair_batches, cross_document_relations, tabular_row_similarity, rows_to_text, json_reply_parse, edge_build, edge_inverse,
+    trigram_jaccard, resolve_exact, resolve_near_dup, resolve_canonical, embedding_duplicates, node_upsert, mention_node_links,
+    node_remove, node_remove_edges, edge_remove, confidence_cut, nodes_by_type, nodes_by_document, node_lookup, node_merge,
+    node_merge_edges, metadata_merge, gazetteer_mentions, cooccurrence_relations, proximity_relations, rule_relation_hits, rule_relations,
+    pair_batches, cross_document_relations, cross_document_classes, tabular_row_similarity, tabular_row_classes, rows_to_text, json_reply_parse, edge_build, edge_inverse,
     edge_upsert, edges_by_node, edges_between, edges_filter_confidence, merge_parallel_edges, query_entities, query_relationships,
     entity_relationships, shortest_path, paths_all_simple, ego_network_nodes, ego_network_edges, graph_statistics, star_statistics,
     store_statistics, document_counters, get_document, document_entities, entity_documents, entity_chunk_links, knn_cosine,

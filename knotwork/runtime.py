@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_STAGED: dict[str, list[str]] = {}
 
 
 def session(app: str = "knotwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,14 +37,19 @@ def session(app: str = "knotwork", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session does not name one (local tests) an own folder is made.
+    Only a local session that does not name one gets a folder of its own, which goes away
+    with the process; on a cluster a missing setting is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_DIR[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
     return _OWN_DIR[app]
 
@@ -54,9 +63,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove all staged tables of this session and give their number; results that still read them must be written before."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of the executors, once per application."""
     app = spark.sparkContext.applicationId

@@ -1,20 +1,17 @@
-"""Schemas of the engine's tables."""
+"""Schemas of the engine's tables; every table has a further partition column ``batch``."""
 
 from __future__ import annotations
 
-DOCUMENTS = "document_id string, text string, title string, file_type string, path string"
+BATCHES = "origin string"
+DOCUMENTS = "document_id string, text string, title string, file_type string, path string, deleted boolean"
 CHUNKS = "chunk_id string, document_id string, chunk_index int, content string"
-MENTIONS = "document_id string, text string, type string, start_pos int, end_pos int"
-CONTEXT = "struct<document:string,start_pos:int,end_pos:int>"
-NODES = f"node_id string, text string, type string, occurrences bigint, documents array<string>, contexts array<{CONTEXT}>"
-EDGES = (
-    "edge_id string, source_id string, target_id string, type string, confidence double, occurrences bigint,"
-    " documents array<string>, bidirectional boolean"
+MENTIONS = "document_id string, text string, type string, start_pos int, end_pos int, metadata string, added boolean"
+RELATIONS = (
+    "document_id string, source string, source_type string, target string, target_type string, relationship string,"
+    " confidence double, bidirectional boolean, added boolean"
 )
-LINKS = "node_id string, document_id string, chunk_index int"
-EMBEDDINGS = "id string, embedding array<double>"
+EMBEDDINGS = "id string, document_id string, embedding array<double>"
 
 TABLES = {
-    "documents": DOCUMENTS, "chunks": CHUNKS, "mentions": MENTIONS, "nodes": NODES, "edges": EDGES, "links": LINKS,
-    "embeddings": EMBEDDINGS,
+    "batches": BATCHES, "documents": DOCUMENTS, "chunks": CHUNKS, "mentions": MENTIONS, "relations": RELATIONS, "embeddings": EMBEDDINGS,
 }

@@ -83,7 +83,40 @@ def read_word(data: bytes) -> tuple[str, dict[str, str]]:
     return "\n\n".join(p for p in paragraphs if p.strip()), meta
 
 
+def column_of(reference: str) -> int:
+    """The column of a cell reference such as ``AB12``, from 0."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
+def sheet_rows(root: ElementTree.Element, shared: list[str]) -> list[list[str]]:
+    """The rows of a sheet; cells stand in the columns that they name, those that are left out are empty."""
+    table = []
+    for row in root.iter():
+        if _local(row) != "row":
+            continue
+        cells: list[str] = []
+        for c in row:
+            if _local(c) != "c":
+                continue
+            at = column_of(c.get("r") or "")
+            cells += [""] * ((at if at >= 0 else len(cells)) - len(cells))
+            if c.get("t") == "inlineStr":
+                v = "".join(x.text or "" for x in c.iter() if _local(x) == "t")
+            else:
+                v = next((x.text or "" for x in c if _local(x) == "v"), "")
+            cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
+        table.append(cells)
+    width = max(map(len, table), default=0)
+    return [cells + [""] * (width - len(cells)) for cells in table]
+
+
 def read_excel(data: bytes) -> tuple[str, dict[str, str]]:
+    """All sheets of a workbook (Office Open XML) in its own order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = []
@@ -91,24 +124,21 @@ def read_excel(data: bytes) -> tuple[str, dict[str, str]]:
             root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in root if _local(si) == "si"]
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        sheets = [e.get("name") or "" for e in book.iter() if _local(e) == "sheet"]
-        out = []
+        files = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                target = e.get("Target") or ""
+                files[e.get("Id")] = target.lstrip("/") if target.startswith("/") else "xl/" + target
+        out, sheets = [], [e for e in book.iter() if _local(e) == "sheet"]
         for n, sheet in enumerate(sheets, 1):
-            table = []
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{n}.xml")).iter():
-                if _local(row) != "row":
-                    continue
-                cells = []
-                for c in row:
-                    v = next((x.text or "" for x in c.iter() if _local(x) in ("v", "t")), "")
-                    cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-                table.append(cells)
-            out += [f"## Sheet: {sheet}", *(rendered(table[0], table[1:]) if table else []), ""]
-    return "\n".join(out).rstrip(), {"sheet_count": str(len(sheets)), "sheets": ",".join(sheets)}
+            link = next((v for k, v in sheet.attrib.items() if k.rsplit("}", 1)[-1] == "id"), None)
+            table = sheet_rows(ElementTree.fromstring(z.read(files.get(link, f"xl/worksheets/sheet{n}.xml"))), shared)
+            out += [f"## Sheet: {sheet.get('name') or ''}", *(rendered(table[0], table[1:]) if table else []), ""]
+    return "\n".join(out).rstrip(), {"sheet_count": str(len(sheets)), "sheets": ",".join(s.get("name") or "" for s in sheets)}
 
 
 READERS: dict[str, Reader] = {
-    "txt": read_plain, "md": read_markdown, "csv": read_csv, "docx": read_word, "xlsx": read_excel, "xls": read_excel,
+    "txt": read_plain, "md": read_markdown, "csv": read_csv, "docx": read_word, "xlsx": read_excel,
 }
 
 
@@ -181,7 +211,8 @@ def extract_images(spark: SparkSession, path: str, split: Callable[[bytes], list
     return files.mapInPandas(run, "path string, page_num int, image_idx int, extracted_text string")
 
 
-def csv_rows_as_text(df: DataFrame, key: str) -> DataFrame:
+def csv_rows_as_text(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
     """(key, line): rows of any table rendered as ``column: value, ...``; null cells as empty text."""
-    cells = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns if c != key]
+    columns = columns or [c for c in df.columns if c != key]
+    cells = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     return df.select(key, F.concat_ws(", ", *cells).alias("line"))

@@ -15,15 +15,13 @@ from knotwork.sources.store import Store
 def ingest_stream(documents: DataFrame, store: Store, checkpoint: str, config: Config | None = None) -> StreamingQuery:
     """Write every micro-batch of a documents stream (document_id, text) into the store.
 
-    A batch whose documents are already stored is skipped, so a repeated batch changes nothing.
+    A micro-batch is named by the checkpoint and its number, so one that is repeated after a
+    failure is written again in its own place.
     """
 
-    def one(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(["document_id"])
-        if store.exists("documents"):
-            new = new.join(store.read("documents").select("document_id"), "document_id", "left_anti")
-        if new.limit(1).count():
-            ingest(store, new, config)
+    def one(batch: DataFrame, number: int) -> None:
+        if batch.limit(1).count():
+            ingest(store, batch, config, origin=f"{checkpoint}#{number}")
 
     return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,7 +10,8 @@ from knotwork import cli
 from knotwork.config import Config
 from knotwork.engine import Engine
 from knotwork.operators.extract import rule_mentions
-from knotwork.plans.pipeline import ingest, process_documents
+from knotwork.plans.pipeline import import_totals, ingest, process_documents
+from knotwork.runtime import release, staged
 from knotwork.sources import files
 from knotwork.sources.store import Store, export_json, network_document, read_graph_json
 from knotwork.streaming.ingest import ingest_stream, windowed_mentions
@@ -33,6 +34,22 @@ def excel_file(path):
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row><c t="s"><v>0</v></c><c t="inlineStr"><is><t>n</t></is></c></row><row><c t="s"><v>1</v></c><c><v>3</v></c></row></sheetData></worksheet>')
 
 
+def gapped_excel_file(path):
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="Second" r:id="rId2"/><sheet name="First" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row><c r="A1"><v>1</v></c></row></sheetData></worksheet>')
+        cells = '<row><c r="A1" t="inlineStr"><is><t>a</t></is></c><c r="B1" t="inlineStr"><is><t>b</t></is></c><c r="C1" t="inlineStr"><is><t>c</t></is></c></row>'
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet><sheetData>{cells}<row><c r="A2"><f>1+1</f><v>2</v></c><c r="C2"><v>9</v></c></row></sheetData></worksheet>')
+
+
+def test_excel_cells_stand_in_their_columns(tmp_path):
+    gapped_excel_file(tmp_path / "g.xlsx")
+    text, meta = files.read_excel((tmp_path / "g.xlsx").read_bytes())
+    assert text == "## Sheet: Second\n# a, b, c\n\nRow 1: a: 2, b: , c: 9\n\n## Sheet: First\n# 1" and meta["sheets"] == "Second,First"
+    assert [files.column_of(x) for x in ("A1", "Z9", "AA10", "")] == [0, 25, 26, -1]
+
+
 def test_file_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("ก plain", encoding="utf-8")
     (tmp_path / "sub").mkdir()
@@ -76,12 +93,16 @@ def test_pipeline_store_and_exchange(spark, tmp_path):
     ingest(store, docs.where("document_id = 'd1'"))
     ingest(store, docs.where("document_id = 'd2'"))
     again = {(r["type"], r["text"]): r["occurrences"] for r in store.read("nodes").collect()}
-    assert again == nodes and store.versions("nodes") == [1, 2]
-    store.drop_old()
-    assert store.versions("nodes") == [2]
-    store.delete("chunks", spark.createDataFrame([("d1",)], "document_id string"))
-    assert {r["document_id"] for r in store.read("chunks").collect()} == {"d2"}
-    small = store.read("nodes").select("node_id", "text")
+    assert again == nodes
+    edges = {r["edge_id"]: (r["occurrences"], r["documents"]) for r in t["edges"].collect()}
+    assert {r["edge_id"]: (r["occurrences"], r["documents"]) for r in store.read("edges").collect()} == edges
+    last = ingest(store, docs.where("document_id = 'd1'"))  # a document that comes again replaces itself
+    assert {(r["type"], r["text"]): r["occurrences"] for r in store.read("nodes").collect()} == nodes
+    assert tuple(import_totals(store, last).first())[:3] == (1, 0, 1)
+    store.delete(spark.createDataFrame([("d1",)], "document_id string"))
+    assert {r["document_id"] for r in store.read("chunks").collect()} == {"d2"} == {r["document_id"] for r in store.read("embeddings").collect()}
+    ingest(store, docs)
+    small = staged(store.read("nodes").select("node_id", "text"), "small")
     assert len(json.loads(network_document(small, small))["nodes"]) == len(nodes)
     with pytest.raises(ValueError):
         network_document(small, small, limit=1)
@@ -90,7 +111,29 @@ def test_pipeline_store_and_exchange(spark, tmp_path):
     (tmp_path / "nodes.json").write_text(json.dumps({"nodes": {"k": {"text": "A", "occurrences": 2}}, "entity_to_node_id": {}}))
     assert [tuple(r) for r in read_graph_json(spark, str(tmp_path / "nodes.json"), "nodes", "text: string, occurrences: int").collect()] == [("A", 2)]
     store.clear()
-    assert store.read("nodes").count() == 0
+    assert store.read("nodes").count() == 0 and store.read("links").count() == 0
+
+
+def test_failed_and_repeated_batches_count_once(spark, tmp_path):
+    schema = "document_id string, text string"
+    one = spark.createDataFrame([("d1", "Write to Ann.Lee@a.org"), ("d1", "Write to Ann.Lee@a.org")], schema)
+    two = spark.createDataFrame([("d2", "Write to ann.lee@a.org"), ("d3", None)], schema)
+    store = Store(spark, str(tmp_path / "store"))
+    ingest(store, one, origin="s#0")
+    batch = store.batch_of("s#1")  # a batch that broke off before its documents were written
+    for name, rows in process_documents(two).items():
+        if name in ("chunks", "mentions"):
+            store.append(name, rows, batch)
+    assert [(r["text"], r["occurrences"]) for r in store.read("nodes").where("type = 'EMAIL'").collect()] == [("Ann.Lee@a.org", 1)]
+    for _ in range(2):
+        assert ingest(store, two, origin="s#1") == batch
+    assert [(r["text"], r["occurrences"]) for r in store.read("nodes").where("type = 'EMAIL'").collect()] == [("Ann.Lee@a.org", 2)]
+    assert import_totals(store, batch).first()["failed"] == 1
+
+
+def test_staged_tables_are_released(spark):
+    kept = staged(spark.range(3), "some")
+    assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0
 
 
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
@@ -132,8 +175,11 @@ def test_command_line(spark, tmp_path, capsys):
         return capsys.readouterr().out
 
     run("init")
-    assert "imported 1" in run("import-directory", str(tmp_path / "in"))
+    (tmp_path / "in" / "b.txt").write_text("  ")
+    totals = json.loads(run("import-directory", str(tmp_path / "in")))[0]
+    assert (totals["documents"], totals["failed"], totals["chunks"]) == (2, 1, 2) and totals["mentions"] >= 4
     assert json.loads(run("search", "acme boston"))[0]["rank"] == 1
+    assert json.loads(run("search", "acme boston", "--alpha", "1", "--no-graph"))[0]["result_type"] == "vector"
     assert any(r["neighbour_text"] for r in json.loads(run("get-entity", "john smith")))
     assert json.loads(run("get-related-documents", "Grace Hopper"))[0]["type"] == "PERSON"
     assert {r["metric"] for r in json.loads(run("stats"))} >= {"nodes", "edges", "chunks", "average_degree"}
@@ -161,6 +207,11 @@ def test_engine(spark, tmp_path):
     assert [r["document"] for r in documents.collect()] == ["d9"] and [r["neighbour_text"] for r in relations.collect()] == ["Grace Hopper"]
     assert engine.paths("Ada Byron", "Grace Hopper").first()["hops"] == 1
     assert engine.paths("Ada Byron", "Grace Hopper", every=True).count() >= 1
+    left, removed = engine.remove_relationships(relations.select("edge_id"))
+    assert removed.first()["removed"] == 1 and left.where("type = 'KNOWS'").count() == 0
+    engine.add_entity("Ada Byron", "PERSON", metadata={"born": 1815})
+    ada = engine.search_entities("ada byron").first()
+    assert ada["occurrences"] == 2 and json.loads(ada["metadata"]) == {"born": ["1815"]}
     near, _ = engine.network("Ada Byron")
     assert {r["text"] for r in near.where("hop = 1").collect()} == {"Grace Hopper"}
     assert {r["metric"]: r["value"] for r in engine.statistics().collect()}["chunks"] == 3

@@ -88,7 +88,7 @@ def test_child_tables_keep_their_parents(spark):
     text = json.dumps({"s": [{"k": 1, "t": [{"v": "x"}, {"v": "y"}]}, {"k": "2"}]})
     df = spark.createDataFrame([("n", text)], "node_id string, metadata string")
     decoded, depth = nested.decoded_records(df, "node_id", "metadata")
-    objects = nested.object_rows(decoded, "node_id", "metadata", depth)
+    objects = nested.child_records(decoded, "node_id", "metadata", depth)
     parents = {r["record_key"]: r for r in nested.child_table(objects, "node_id", "metadata.s[]", ["k"]).collect()}
     kids = nested.child_table(objects, "node_id", "metadata.s[].t[]", ["v"]).collect()
     assert {(r["ordinal"], r["v"], parents[r["parent_key"]]["k"]) for r in kids} == {(0, "x", "1"), (1, "y", "1")}
@@ -99,12 +99,13 @@ def test_child_tables_keep_their_parents(spark):
 def test_all_records_become_rows(spark):
     text = json.dumps({"c": 0.5, "m": ["a", None, 3], "t": [["x"], []], "s": [{"k": "v", "o": {}}]})
     df = spark.createDataFrame([("n", text), ("p", "[1, {}]"), ("q", "{}")], "node_id string, metadata string")
-    rows = nested.record_rows(*(lambda d: (d[0], "node_id", "metadata", d[1]))(nested.decoded_records(df, "node_id", "metadata")))
+    decoded, depth = nested.decoded_records(df, "node_id", "metadata")
+    rows = nested.child_records(decoded, "node_id", "metadata", depth)
     kids = nested.child_rows(rows, "node_id").collect()
     flat = {(r["node_id"], r["path"], r["ordinal"], r["field"]): r["value"] for r in kids if r["field"] not in ("m", "t", "s")}
     assert flat == {
         ("n", "metadata", None, "c"): "0.5", ("n", "metadata.m[0]", 0, None): "a", ("n", "metadata.m[2]", 2, None): "3",
-        ("n", "metadata.t[0][0]", 0, None): "x", ("n", "metadata.s[0]", 0, "k"): "v", ("n", "metadata.s[0]", 0, "o"): "{}",
+        ("n", "metadata.t[0][0]", 0, None): "x", ("n", "metadata.s[0]", 0, "k"): "v", ("n", "metadata.s[0]", 0, "o"): None,
         ("n", "metadata.s[0].o", None, None): None, ("p", "metadata[0]", 0, None): "1", ("p", "metadata[1]", 1, None): None, ("q", "metadata", None, None): None,
     }
     keys = {r["path"]: r["record_key"] for r in kids if r["node_id"] == "n"}
@@ -122,4 +123,32 @@ def test_decoding_undoes_any_number_of_encodings(value, times):
     text = json.dumps(value)
     for _ in range(times):
         text = json.dumps(text)
-    assert nested.decode_text(text) == nested.decode_text(json.dumps(value))
+    assert nested.fragments(text, "m") == nested.fragments(json.dumps(value), "m")
+
+
+@given(st.text("{}[],:\" a1\\", max_size=12) | JSON.map(json.dumps))
+def test_the_reader_for_deep_texts_agrees_with_the_usual_one(text):
+    def read(parse):
+        try:
+            return parse(text)
+        except ValueError:
+            return ValueError
+
+    assert read(nested._parse_deep) == read(json.loads)
+
+
+def test_numbers_that_no_double_holds_and_deep_records_keep_their_rows(spark):
+    deep = '{"a":' * 5000 + '{"b": [1e999]}' + "}" * 5000
+    very = '{"a":' * 20_000 + "{}" + "}" * 20_000
+    huge = '{"x": {"n": 1e999}, "y": [{"n": ' + "9" * 5000 + "}]}"
+    got = paths(spark, [("n", 1, None, None, deep), ("m", 1, None, None, huge), ("o", 1, None, None, deep[:-1])])
+    assert {p for i, p in got if i == "m"} == {"metadata.x", "metadata.y[0]"} and not any(i == "o" for i, _ in got)
+    assert {p for i, p in got if i == "n"} == {"metadata" + ".a" * k for k in range(1, 5001)}
+    assert len(nested.fragments(very, "m")) == 313  # 20,001 levels, 64 in each
+
+
+def test_fragments_of_deep_records_keep_paths_and_parents():
+    found = nested.fragments('{"x": {"y": [[{"z": {}}], null]}}', "m", 2)
+    assert found == [
+        ("m", None, None, '{"x": {"y": null}}', 2), ("m.x.y", "m.x", None, "[[null], null]", 2), ("m.x.y[0][0]", "m.x", 0, '{"z": {}}', 2),
+    ]

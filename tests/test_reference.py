@@ -1,18 +1,20 @@
 import hashlib
 import json
+import math
 import re
-import unicodedata
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as X
 from knotwork.functions import vectors as V
 from knotwork.operators import edges as E
-from knotwork.operators import extract, graph, relate, resolve, retrieval
+from knotwork.operators import extract, graph, relate, resolve, retrieval, rules
 
 MENTIONS = "document_id string, text string, type string, start_pos int, end_pos int"
+# Mentions whose relations are known.
 ENTITIES = [
     ("d", "John Smith", "PERSON", 5, 15), ("d", "Acme Corporation", "ORGANIZATION", 26, 42), ("d", "New York City", "LOCATION", 83, 96),
     ("d", "Stanford University", "ORGANIZATION", 127, 147), ("d", "2010", "DATE", 151, 155), ("d", "Sarah Johnson", "PERSON", 161, 174),
@@ -32,35 +34,45 @@ def test_ids(spark):
 
 
 def test_rule_extraction(spark):
-    text = "John Smith works at Acme Corp. He paid $1000 on January 15, 2023. Contact him at john@example.com."
-    df = spark.createDataFrame([("d", text), ("e", None), ("f", "  ")], DOCS)
-    got = {(r["type"], r["text"], r["start_pos"], r["end_pos"]) for r in extract.rule_mentions(df).collect()}
+    text = "Grace Hopper joined Big Iron Works Corp on March 3rd, 1944 for $2,500.75 or 90 baht. Write to g.hopper@navy.example.org"
+    df = spark.createDataFrame([("d", text), ("e", None), ("f", "  "), ("g", "")], DOCS)
+    got = {(r["type"], r["text"]) for r in extract.rule_mentions(df).collect()}
     assert got == {
-        ("PERSON", "John Smith", 0, 10), ("PERSON", "Acme Corp", 20, 29), ("DATE", "January 15, 2023", 48, 64), ("MONEY", "$1000", 39, 44),
+        ("PERSON", "Grace Hopper"), ("PERSON", "Big Iron"), ("PERSON", "Works Corp"), ("ORGANIZATION", "Big Iron Works Corp"),
+        ("DATE", "March 3rd, 1944"), ("MONEY", "$2,500.75"), ("MONEY", "90 baht"),
     }
+    assert all(text[r["start_pos"] : r["end_pos"]] == r["text"] for r in extract.rule_mentions(df).collect())
     mail = extract.rule_mentions(df, ("EMAIL", "CONCEPT")).collect()
-    assert [(r["text"], r["start_pos"]) for r in mail] == [("john@example.com", 81)]
+    assert [r["text"] for r in mail] == ["g.hopper@navy.example.org"]
     with pytest.raises(ValueError):
         extract.extract(df, "unheard of")
 
 
-def test_rule_spans_equal_python(spark):
-    texts = ["ดร.Ada Byron met Grace Hopper; Ada Byron left.", "“Alan Turing” and Anna Ng, 12/3/2020 at 10:30 pm", "no names", "José Gray Anne Bonny"]
-    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], DOCS)
-    got = {(r["document_id"], r["start_pos"], r["text"]) for r in extract.rule_mentions(df, ("PERSON",)).collect()}
-    want = {(str(i), m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer(extract.PATTERNS["PERSON"], t)}
-    assert got == want
+@pytest.mark.parametrize("kind, text, found", [
+    ("PERSON", "Ada\n Byron Ann-Marie Lee McX Ab Cd_e ดร.Alan Turing, José Gray", ["Ada\n Byron", "Marie Lee", "Alan Turing"]),
+    ("ORGANIZATION", "Acme Corp, Big Iron  Co Ltd and The Old Mill Company", ["Big Iron  Co Ltd", "The Old Mill Company"]),
+    ("DATE", "May  4,\t2021 12/3/20 1/2/20201 3/4/2020x Juni 4, 2020", ["May  4,\t2021", "12/3/20"]),
+    ("TIME", "10:30 pm, 9:05, 7:00x 123:45 8:15AM 10:30 and", ["10:30 pm", "9:05", "8:15AM", "10:30"]),
+    ("MONEY", "$5 $1,000.50, 1,000 THB 3.5 dollars 7 dollar 5,5  baht", ["$5", "$1,000.50", "1,000 THB", "3.5 dollars", "5,5  baht"]),
+    ("EMAIL", ".a.b@c.de x@y z@w.c1 m@n.o.pq- _u@v.com", ["a.b@c.de", "m@n.o.pq", "_u@v.com"]),
+    ("PHONE", "(555) 123-4567 +66 812 345 6789 1.555.123.4567 5551234567 a555 123 4567 555 123 45678", ["(555) 123-4567", "+66 812 345 6789", "1.555.123.4567", "5551234567"]),
+    ("URL", "http://a.b/c?d=1 https://www.x_y.com:80/p(q) http://bad ftp://a.b", ["http://a.b/c?d=1", "https://www.x_y.com:80/p(q)"]),
+])
+def test_rules(kind, text, found):
+    assert [text[a:b] for _, a, b in rules.find_all(text, (kind,))] == found
 
 
 def test_rules_read_long_texts_to_the_end(spark):
-    kinds = tuple(extract.PATTERNS)
     part = "“Ada Byron” met Grace Hopper at 10:30 pm,  paid $1,000.50 on May 3, 2021. Call (555) 123 4567.\nดร.Alan Turing wrote a.b@c.org; Big Blue Iron Co? "
     texts = [part * 400, "ก" * 25_000 + " Anna Ng", "Xy " * 9_000, "no end, " * 3_000 + "12/3/2020"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], DOCS)
-    got = sorted((r["document_id"], r["type"], r["start_pos"], r["end_pos"], r["text"]) for r in extract.rule_mentions(df, kinds).collect())
-    plain = [re.sub(r"[^\x00-\x7f]", lambda m: "_" if m.group().isalnum() or unicodedata.category(m.group())[0] == "M" else ",", t) for t in texts]
-    want = sorted((str(i), k, m.start(), m.end(), texts[i][m.start() : m.end()]) for i, t in enumerate(plain) for k in kinds for m in re.finditer(extract.PATTERNS[k], t))
-    assert got == want and max(r[3] for r in want if r[0] == "0") > 50_000
+    got = extract.rule_mentions(df, tuple(rules.MATCHERS)).collect()
+    one = rules.find_all(part, tuple(rules.MATCHERS))
+    want = {("0", k, a + n * len(part), b + n * len(part)) for k, a, b in one for n in range(400)}
+    assert {(r["document_id"], r["type"], r["start_pos"], r["end_pos"]) for r in got if r["document_id"] == "0"} == want
+    assert all(texts[int(r["document_id"])][r["start_pos"] : r["end_pos"]] == r["text"] for r in got)
+    assert [r["text"] for r in got if r["document_id"] in "13"] == ["Anna Ng", "12/3/2020"]
+    assert sum(r["document_id"] == "2" for r in got) == 4_500
 
 
 def test_model_is_asked_about_the_whole_text(spark):
@@ -77,10 +89,14 @@ def test_model_is_asked_about_the_whole_text(spark):
 
 def test_gazetteer(spark):
     df = spark.createDataFrame([("d", "graph graphs"), ("e", None)], DOCS)
-    terms = spark.createDataFrame([("graph", "CONCEPT"), ("", "CONCEPT"), ("raph", "X")], "text string, type string")
+    long = "x" * 90 + "ที่" * 90
+    df = df.union(spark.createDataFrame([("f", "ab" + long + "c"), ("g", "")], DOCS))
+    terms = spark.createDataFrame([("graph", "CONCEPT"), ("", "CONCEPT"), ("raph", "X"), ("graphs", "X"), (None, "X"), (long, "L"), (long + "y", "L"), ("c", "C")], "text string, type string")
     for most in (1, 100):
-        got = {(r["text"], r["start_pos"]) for r in extract.gazetteer_mentions(df, terms, max_terms=most).collect()}
-        assert got == {("graph", 0), ("graph", 6), ("raph", 1), ("raph", 7)}
+        got = {(r["document_id"], r["text"], r["start_pos"], r["end_pos"]) for r in extract.gazetteer_mentions(df, terms, most_anchors=most).collect()}
+        assert got == {
+            ("d", "graph", 0, 5), ("d", "graph", 6, 11), ("d", "raph", 1, 5), ("d", "raph", 7, 11), ("d", "graphs", 6, 12), ("f", long, 2, 362), ("f", "c", 362, 363),
+        }
 
 
 def test_model_plugins(spark):
@@ -115,8 +131,17 @@ def test_proximity_equals_all_pairs_over_buckets(spark):
     assert got == want
 
 
+def test_phrases():
+    table = relate.phrase_table()
+    assert relate.phrase_hits("Ann works\n for Bo. Bo is an employee of Cy works at Di", table) == [
+        ("WORKS_FOR", "Ann", "Bo", "Ann works\n for Bo"), ("WORKS_FOR", "Bo", "Cy", "Bo is an employee of Cy"), ("WORKS_FOR", "Cy", "Di", "Cy works at Di"),
+    ]
+    assert relate.phrase_hits("A joined B joined C", table) == [("WORKS_FOR", "A", "B", "A joined B")]
+    assert relate.phrase_hits("joined B. A joined. was held in", table) == []
+
+
 def test_rule_relations(spark):
-    df = spark.createDataFrame([("d", "John Smith works for Acme Corporation. Acme Corporation is headquartered in New York City.")], DOCS)
+    df = spark.createDataFrame([("d", "As John Smith works for Acme Corporation, he never saw New York City."), ("e", None)], DOCS)
     got = relate.rule_relations(df, spark.createDataFrame(ENTITIES, MENTIONS)).collect()
     assert [(r["source"], r["relationship"], r["target"], r["matched"]) for r in got] == [("John Smith", "WORKS_FOR", "Acme Corporation", "Smith works for Acme")]
 
@@ -181,7 +206,9 @@ def test_graph(spark):
     got = {(r["source"], r["target"]): (r["hops"], r["nodes"], len(r["edge_ids"])) for r in graph.shortest_paths(e, pairs, 3, 0.5).collect()}
     assert got == {("a", "d"): (3, ["a", "b", "c", "d"], 3)}
     assert graph.shortest_paths(e, pairs, 3).where("target = 'd'").first()["nodes"] == ["a", "d"]
-    simple = {tuple(r["nodes"]) for r in graph.simple_paths(e, pairs, 3).collect()}
+    far = {r["target"]: r["nodes"] for r in graph.shortest_paths(e, pairs, 4, 0.5).collect()}
+    assert far == {"d": ["a", "b", "c", "d"], "e": ["a", "b", "c", "d", "e"]} and graph.shortest_paths(e, pairs, 1, 0.5).count() == 0
+    simple = {tuple(r["nodes"]) for r in graph.simple_paths(e, pairs.selectExpr("source as node_id"), pairs.selectExpr("target as node_id"), 3).collect()}
     assert simple == {("a", "d"), ("a", "b", "c", "d"), ("a", "d", "e")}
     near, inside = graph.ego_network(e, n, spark.createDataFrame([("a",)], "node_id string"), 2, 0.5, 2)
     assert {(r["node_id"], r["hop"]) for r in near.collect()} == {("a", 0), ("b", 1)} and inside.count() == 1
@@ -224,3 +251,106 @@ def test_fusion_and_filters(spark):
     df = spark.createDataFrame([("text", 7), ("text", 3), ("pdf", 9)], "kind string, n int")
     assert df.where(X.where({"kind": "text", "n": {"GreaterThan": 5}})).count() == 1
     assert df.where(X.where({"kind": {"Like": "t*"}})).count() == 2 and df.where(X.where(None)).count() == 3
+
+
+def brute_near(texts, threshold):
+    def grams(t, n):
+        return {t[i : i + n] for i in range(len(t) - n + 1)}
+
+    out = set()
+    for a in texts:
+        for b in texts:
+            if a != b and len(a) < len(b) and a in b:
+                n = 1 if len(a) < 3 else 3
+                if len(grams(a, n)) / len(grams(b, n)) >= threshold:
+                    out.add((a, b))
+    return out
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    texts = ["ที่ทำงานกลาง", "ที่ทำงานกลางๆ", "straße der einheit", "straße der einheit 1", "aaaa", "aaaaa", "ab", "aba", "abc", "a", "aa", "großmann & söhne", "großmann & söhnes"]
+    got = {(r["short"], r["long"]) for r in resolve.near_duplicates(spark.createDataFrame([(t, "T") for t in texts], "text string, type string")).collect()}
+    assert got == brute_near(texts, 0.85)
+    canonical = {r["text"]: r["canonical"] for r in resolve.canonical_near(spark.createDataFrame([(t, "T") for t in texts], "text string, type string")).collect()}
+    assert canonical["aaaaa"] == "a" and canonical["großmann & söhnes"] == "großmann & söhne"
+
+
+def test_vector_tiles_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    v[7] = v[3]
+    rows = [(i, v[i].tolist(), str(i % 2)) for i in range(60)] + [(60, None, "0"), (61, [1.0], "0"), (62, [float("nan")] * 4, "0")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, type string")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 12)
+    for block in (7, 4096):
+        q = df.where("id % 10 = 0 and id < 60").selectExpr("id as query_id", "embedding")
+        got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.nearest(q, df, 3, 1, block_rows=block).collect()}
+        want = {(i, r): int(j) for i in range(0, 60, 10) for r, j in enumerate(np.lexsort((np.arange(60), -s[i]))[1:4], 1)}
+        assert got == want
+        near = {(r["a"], r["b"]) for r in retrieval.similarity_edges(df, 0.5, block_rows=block).collect()}
+        assert near == {(a, b) for a in range(60) for b in range(a + 1, 60) if s[a, b] > 0.5}
+    dup = {(r["a"], r["b"]) for r in resolve.embedding_duplicates(df, 0.9).collect()}
+    assert dup == {(a, b) for a in range(60) for b in range(a + 2, 60, 2) if s[a, b] >= 0.9}
+    several = df.where("id < 60").selectExpr("id % 20 as id", "embedding")
+    best = retrieval.nearest(several.where("id = 0").selectExpr("id as query_id", "embedding"), several, 20, block_rows=9).collect()
+    groups = [[0, 20, 40]] + [[g, g + 20, g + 40] for g in range(1, 20)]
+    assert {r["id"]: round(r["similarity"], 9) for r in best} == {g[0]: round(float(s[np.ix_([0, 20, 40], g)].max()), 9) for g in groups}
+
+
+def test_keywords_equal_brute_force(spark):
+    texts = ["red fish blue fish", "blue moon", "the red red moon", "", None, "the the the", "fish"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    q = spark.createDataFrame([(1, "Red fish"), (2, "the moon the"), (3, None), (4, "unheard")], "query_id int, text string")
+    words = [(t or "").split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+
+    def score(query, w):
+        total = 0.0
+        for t in set(query):
+            df = sum(t in x for x in words)
+            if t in w:
+                tf = w.count(t)
+                total += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        return round(total, 6)
+
+    want = {(n, f"d{i}"): score(query, w) for n, query in ((1, ["red", "fish"]), (2, ["the", "moon"])) for i, w in enumerate(words) if score(query, w)}
+    for block in (2, 4096):
+        got = retrieval.keyword_top(q, docs, 3, block_rows=block).collect()
+        assert all(round(r["score"], 6) == want[(r["query_id"], r["id"])] for r in got) and {r["query_id"] for r in got} == {1, 2}
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 1] == [k[1] for k in sorted((k for k in want if k[0] == 1), key=lambda k: (-want[k], k[1]))][:3]
+
+
+def test_metadata_and_removals(spark):
+    n = spark.createDataFrame(
+        [("a", "A", "T", 1, ["d1"], [("d1", 0, 1)], '{"x": 1, "y": ["p", "q"]}'), ("b", "B", "T", 2, ["d2", None], None, '{"x": 2, "y": "p"}'), ("c", "C", "T", None, None, [("d3", 4, 5)], "cut {")],
+        "node_id string, text string, type string, occurrences long, documents array<string>, contexts array<struct<document string, start_pos int, end_pos int>>, metadata string",
+    )
+    e = edges_of(spark, [("a", "b", "R", 0.9, False), ("b", "c", "R", None, False)]).withColumn("metadata", F.lit('{"k": "v"}'))
+    merged, edges = resolve.merge_nodes(n, e, spark.createDataFrame([("b", "a")], "alias string, primary string"))
+    rows = {r["node_id"]: r for r in merged.collect()}
+    assert json.loads(rows["a"]["metadata"]) == {"x": ["1", "2"], "y": ["p", "q"]} and rows["a"]["documents"] == ["d1", "d2"]
+    assert [tuple(c) for c in rows["a"]["contexts"]] == [("d1", 0, 1)] and rows["c"]["documents"] == [] and rows["c"]["metadata"] is None
+    assert [(r["source_id"], json.loads(r["metadata"])) for r in edges.collect()] == [("a", {"k": ["v"]})]
+    kept, gone = resolve.remove_nodes(n, e, spark.createDataFrame([("b",), (None,)], "node_id string"))
+    assert sorted(r["node_id"] for r in kept.collect()) == ["a", "c"] and gone.count() == 0
+    left, removed = E.remove_edges(e, e.limit(1).select("edge_id").unionByName(spark.createDataFrame([("none",)], "edge_id string")))
+    assert left.count() == 1 and removed.first()["removed"] == 1
+    assert tuple(E.confidence_cut(e, 0.5).first()) == (1, 1)
+    m = spark.createDataFrame([("d1", "Acme", "O", 5, 9, '{"s": "x"}'), ("d0", "ACME", "O", 3, 7, '{"s": "y"}'), ("d1", "acme", "O", 1, 5, None)], MENTIONS + ", metadata string")
+    up = resolve.upsert_nodes(m).first()
+    assert (up["text"], up["occurrences"], up["documents"], json.loads(up["metadata"])) == ("ACME", 3, ["d0", "d1"], {"s": ["x", "y"]})
+    assert [tuple(c) for c in up["contexts"]] == [("d0", 3, 7), ("d1", 1, 5), ("d1", 5, 9)]
+    assert {r["node_id"] for r in resolve.mention_nodes(m).collect()} == {up["node_id"]}
+
+
+def test_classes_stand_for_their_members(spark):
+    n = spark.createDataFrame([(f"n{i:03d}", ["a", "b", None] if i < 40 else ["b", "c", "a"]) for i in range(80)] + [("x", ["a"]), ("y", None)], "node_id string, documents array<string>")
+    for block in (1, 512):
+        got = relate.cross_document(n, block=block).collect()
+        assert [(r["node_a"], r["node_b"], r["common"], round(r["confidence"], 4)) for r in got] == [("n000", "n040", 2, 0.6667)]
+    classes = {r["node_id"]: r["class"] for r in relate.document_classes(n).collect()}
+    assert len(classes) == 81 and set(classes.values()) == {"n000", "n040", "x"}
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 2), (4, None, 2), (5, None, 3)], "k int, u string, v int")
+    assert {(r["a"], r["b"], r["shared_columns"]) for r in relate.row_similarity(rows, "k", ["u", "v"]).collect()} == {(1, 3, "u"), (3, 4, "v")}
+    assert {r["key"]: r["class"] for r in relate.row_classes(rows, "k", ["u", "v"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
