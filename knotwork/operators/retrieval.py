@@ -29,6 +29,11 @@ def comparable(c: Column) -> Column:
     return c.isNotNull() & F.coalesce(F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
 
 
+def result_rows(**columns) -> pd.DataFrame:
+    """A frame of results; ids of any type are kept as plain objects."""
+    return pd.DataFrame({n: pd.Series(list(v), dtype=float if n in ("similarity", "score") else object) for n, v in columns.items()})
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, limit: int = 10, offset: int = 0, where: Column | None = None, block_rows: int = 4096) -> DataFrame:
     """(query_id, id, similarity, rank): the most similar vectors of every query, ties by id.
 
@@ -53,7 +58,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, limit: int = 10, offset: int
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+            return result_rows(query_id=[], id=[], similarity=[])
         left, right = left.sort_values("query_id", kind="stable"), right.sort_values("id", kind="stable")
         a, b = unit_rows(left), unit_rows(right)
         asked, rows = np.unique(left["query_id"].to_numpy(), return_index=True)
@@ -76,7 +81,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, limit: int = 10, offset: int
             first = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], np.arange(len(r)), 0))
             keep = np.arange(len(r)) - first < most
             out_q.append(asked[g + r[keep]]), out_i.append(ids[c[keep]]), out_s.append(v[keep])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_i), "similarity": np.concatenate(out_s)})
+        return result_rows(query_id=np.concatenate(out_q), id=np.concatenate(out_i), similarity=np.concatenate(out_s))
 
     found = asks.groupBy("i", "j", "d").cogroup(targets.groupBy("i", "j", "d")).applyInPandas(best, kind)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
@@ -128,7 +133,7 @@ def keyword_top(queries: DataFrame, docs: DataFrame, limit: int, grams: int = 0,
 
     def best(asks: pd.DataFrame, posts: pd.DataFrame) -> pd.DataFrame:
         if not len(asks) or not len(posts):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return result_rows(query_id=[], id=[], score=[])
         ids, at = np.unique(posts["id"].to_numpy(), return_inverse=True)
         order = np.argsort(posts["t"].to_numpy(), kind="stable")
         terms, at, part = posts["t"].to_numpy()[order], at[order], posts["part"].to_numpy()[order]
@@ -145,7 +150,7 @@ def keyword_top(queries: DataFrame, docs: DataFrame, limit: int, grams: int = 0,
             hit = hit[np.lexsort((hit, -np.round(score[hit], 6)))[:limit]]
             out_q += [of_query[a]] * len(hit)
             out_i.append(ids[hit]), out_s.append(score[hit])
-        return pd.DataFrame({"query_id": out_q, "id": np.concatenate(out_i), "score": np.concatenate(out_s)})
+        return result_rows(query_id=out_q, id=np.concatenate(out_i), score=np.concatenate(out_s))
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, kind)
     return ranked(found, "score", limit)
@@ -222,7 +227,7 @@ def similarity_edges(vectors: DataFrame, threshold: float = 0.7, kind: str | Non
         left = pdf if alone else pdf[pdf["own"] == pdf["i"]]
         right = pdf if alone else pdf[pdf["own"] == pdf["j"]]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+            return result_rows(a=[], b=[], similarity=[])
         x, y, ia, ib = unit_rows(left), unit_rows(right), left["id"].to_numpy(), right["id"].to_numpy()
         rows, cols, values = [], [], []
         for at in range(0, len(x), 512):
@@ -233,6 +238,6 @@ def similarity_edges(vectors: DataFrame, threshold: float = 0.7, kind: str | Non
         one, two = ia[r], ib[c]
         keep = one < two if alone else one != two
         one, two, s = one[keep], two[keep], s[keep]
-        return pd.DataFrame({"a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "similarity": s})
+        return result_rows(a=np.where(one < two, one, two), b=np.where(one < two, two, one), similarity=s)
 
     return v.groupBy("kind", "d", "i", "j").applyInPandas(pairs, out)
