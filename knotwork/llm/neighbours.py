@@ -109,7 +109,7 @@ def tile_neighbours(
 def _lists(ids: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pd.DataFrame:
     """One row per asking vector with its candidates and cosines."""
     if not len(a):
-        return pd.DataFrame({"x": [], "ys": [], "cosines": []})
+        return pd.DataFrame([], columns=LISTS.fieldNames())
     cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     return pd.DataFrame({
         "x": ids[a[cut]], "ys": np.split(ids[b], cut[1:]), "cosines": np.split(c.astype(np.float32), cut[1:]),

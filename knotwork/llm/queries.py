@@ -22,6 +22,10 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired_pages(table(spark, sf_dir, "chunks"))
 
 
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_paragraphs(table(spark, sf_dir, "chunks"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.similar_vectors(table(spark, sf_dir, "chunk_vectors"), 5, 0.80)
     return near.select(
@@ -68,6 +72,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pages": p3_pages,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_queries": p4_queries,
     "p6_windows": p6_windows,

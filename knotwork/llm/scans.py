@@ -9,7 +9,7 @@ cost of the misreadings, their frequency and the words beside them.
 
 The vocabulary is counted over all files that were parsed cleanly, with the words of the
 scans used only where there are none. The words to look up are distinct words, spread over
-the cluster; the vocabulary is broadcast in shards of bounded size, so it may grow.
+the cluster; the vocabulary meets them in shards of bounded size, so it may grow.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ IMAGES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "gif")
 HYPHENS = "-‐‑¬­"
 EDGE = ".,;:!?()[]{}<>\"'“”‘’«»…|~#*=_" + HYPHENS + "–—"
 SHARD_WORDS = 200_000
+PART_WORDS = 20_000
 BROADCAST_ROWS = 200_000
 
 # Usual misreadings, right characters and what they are read as.
@@ -47,6 +48,7 @@ LINE = T.StructType([
     T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("broken", T.StringType()), T.StructField("rest", T.StringType()), T.StructField("at_end", T.BooleanType()),
     T.StructField("at_start", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("opens", T.BooleanType()), T.StructField("full", T.BooleanType()),
 ])
 FOUND = T.StructType([
     T.StructField("word", T.StringType()), T.StructField("right", T.StringType()),
@@ -118,22 +120,41 @@ def edge_keys(content: str | None) -> list[str]:
     return sorted(k for k in keys if len(k) > 6)
 
 
-def is_furniture(line: str, at_top: bool, title: str | None, repeated: set[str]) -> bool:
+GRAM = 4  # lines that are alike (at least 0.85 in common) share a run of four characters
+
+
+@lru_cache(512)
+def gram_index(repeated: tuple[str, ...]) -> dict[str, list[str]]:
+    """The longer repeated keys of a file by every run of four characters, the side of the page first."""
+    index: dict[str, list[str]] = {}
+    for k in repeated:
+        if len(k) > 8:
+            for g in {k[0] + k[i : i + GRAM] for i in range(1, len(k) - GRAM + 1)}:
+                index.setdefault(g, []).append(k)
+    return index
+
+
+def known_line(key: str, side: str, repeated: tuple[str, ...]) -> bool:
+    """The key recurs in the file, or is like one that does; only keys with a run in common are compared."""
+    if len(key) > 5 and side + key in repeated:
+        return True
+    index = gram_index(repeated)
+    near = {k for i in range(len(key) - GRAM + 1) for k in index.get(side + key[i : i + GRAM], ())}
+    return any(alike(k[1:], key) for k in near)
+
+
+def is_furniture(line: str, at_top: bool, title: str | None, repeated: tuple[str, ...]) -> bool:
     if is_page_number(line):
         return True
     text, numbered = without_number(line)
     if text and text[-1] in ".;,?!:":
         return False
     key = fold(text)
-    if ("t" if at_top else "b") + key in repeated and len(key) > 5:
-        return True
     if title:
         name = fold(title)
         if len(name) > 5 and any(alike(fold(p), name) for p in [text, *re.split(r"\||\s-\s", text)]):
             return True
-    if any(len(k) > 8 and k[0] == ("t" if at_top else "b") and alike(k[1:], key) for k in repeated):
-        return True
-    if numbered:
+    if numbered or known_line(key, "t" if at_top else "b", repeated):
         return True
     words = text.split()
     return not at_top and 1 < len(words) <= 6 and words[0][:1].isupper() and any(fold(words[-1]) == fold(m) for m in MARKS)
@@ -143,7 +164,7 @@ def page_lines(content: str | None, title: str | None, repeated: list[str] | Non
     """The lines of a page with their kind, broken words and whole words (see ``LINE``)."""
     if not content:
         return []
-    lines, again = content.split("\n"), set(repeated if repeated is not None else ())
+    lines, again = content.split("\n"), tuple(repeated if repeated is not None else ())
     top, bottom = edge_lines(content)
     furniture = set()
     for side, at_top in ((top, True), (bottom, False)):
@@ -153,8 +174,9 @@ def page_lines(content: str | None, title: str | None, repeated: list[str] | Non
         known = [n for n in known if n == 0 or not at_top or not is_page_number(lines[side[n]])]
         furniture.update(side[: max(known, default=-1) + 1])
     body = [i for i, x in enumerate(lines) if x.strip() and i not in furniture]
-    out = [(i, "furniture", lines[i].strip(), None, None, False, False, []) for i in sorted(furniture)]
+    out = [(i, "furniture", lines[i].strip(), None, None, False, False, [], False, False) for i in sorted(furniture)]
     carried = False
+    widest = max((len(lines[i].rstrip()) for i in body), default=0)
     for n, i in enumerate(body):
         words = lines[i].split()
         last = words[-1]
@@ -167,6 +189,8 @@ def page_lines(content: str | None, title: str | None, repeated: list[str] | Non
         whole = words[1 if carried else 0 : len(words) - 1 if broken else None]
         out.append((
             i, "body", lines[i].strip(), broken, rest, n + 1 == len(body), n == 0, [w.strip(EDGE.replace("|", "")) for w in whole],
+            lines[i][:1] in (" ", "\t") or (n > 0 and any(not lines[j].strip() for j in range(body[n - 1] + 1, i))),
+            len(lines[i].rstrip()) >= 0.75 * widest,
         ))
         carried = bool(broken)
     return out
@@ -210,7 +234,7 @@ def read_lines(page: DataFrame) -> DataFrame:
     """(chunk_id, document_id, chunk_index, line fields ...): the lines of scanned pages."""
     keys = page.select("document_id", "chunk_index", F.explode(_edge_keys("content")).alias("key")).distinct()
     again = keys.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = again.groupBy("document_id").agg(F.collect_set("key").alias("repeated"))
+    again = again.groupBy("document_id").agg(F.array_sort(F.collect_list("key")).alias("repeated"))
     page = page.join(again, "document_id", "left")
     return page.select(
         "chunk_id", "document_id", "chunk_index", F.explode(_page_lines("content", "file_title", "repeated")).alias("l")
@@ -233,7 +257,7 @@ def next_starts(lines: DataFrame) -> DataFrame:
 
 def is_lower(c: str = "word"):
     """A word to look up: a letter in it, no capital at its start, no Thai."""
-    return F.col(c).rlike(r"\p{L}") & ~F.col(c).rlike(r"^\p{Lu}|[\p{Lu}]{2}|\p{IsThai}") & (F.length(c) <= 40)
+    return F.col(c).rlike(r"\p{L}") & ~F.col(c).rlike(r"^\p{Lu}|[\p{Lu}]{2}|\p{IsThai}")
 
 
 def clean_words(page: DataFrame) -> DataFrame:
@@ -304,27 +328,31 @@ def misread_cost(right: str, read: str) -> float:
     return d[-1][-1]
 
 
-def look_up(words: DataFrame, vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(word, right, cost, n): every vocabulary word within reach of every distinct word."""
-    spark = words.sparkSession
-    shards = vocabulary.count() // shard_words + 1
-
-    def one(shard: int) -> DataFrame:
-        part = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast([(r["word"], r["n"]) for r in part.collect()])
+def look_up(words: DataFrame, vocabulary: DataFrame, shard_words: int = SHARD_WORDS, part_words: int = PART_WORDS) -> DataFrame:
+    """(word, right, cost, n): every vocabulary word within reach of every distinct word.
 
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trie = Trie(shared.value)
-            for pdf in batches:
-                rows = [(w, c, misread_cost(c, w), n) for w in pdf["word"] for c, n in trie.within(w, reach(w))]
-                yield pd.DataFrame(rows, columns=FOUND.fieldNames())
+    A grid of groups: the words are split into parts, the vocabulary into shards, and each
+    group builds the trie of its shard and looks up the words of its part. Nothing is
+    collected or broadcast, and the parts are never merged into fewer tasks than there are.
+    """
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    shards = vocabulary.count() // shard_words + 1
+    parts = max(2 * cores, words.count() // part_words + 1)
+    at = F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part")
+    shard = F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard")
+    asked = words.select("word", at, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    known = vocabulary.select(F.col("word").alias("right"), "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), shard)
+    tasks = shards * parts
+    asked, known = asked.repartition(tasks, "part", "shard"), known.repartition(tasks, "part", "shard")
 
-        return words.select("word").mapInPandas(find, FOUND)
+    def find(ask: pd.DataFrame, know: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(know):
+            return pd.DataFrame([], columns=FOUND.fieldNames())
+        trie = Trie(list(zip(know["right"], know["n"].tolist(), strict=True)))
+        rows = [(w, c, misread_cost(c, w), n) for w in ask["word"] for c, n in trie.within(w, reach(w))]
+        return pd.DataFrame(rows, columns=FOUND.fieldNames())
 
-    found = one(0)
-    for s in range(1, shards):
-        found = found.unionByName(one(s))
-    return found
+    return asked.groupBy("part", "shard").cogroup(known.groupBy("part", "shard")).applyInPandas(find, FOUND)
 
 
 def repairs(chunks: DataFrame, *, most_cost: float = 1.25, ratio: float = 20.0) -> tuple[DataFrame, DataFrame]:
@@ -336,7 +364,7 @@ def repairs(chunks: DataFrame, *, most_cost: float = 1.25, ratio: float = 20.0)
     word is corrected if its cheapest readings cost at most ``most_cost`` and the right
     word is ``ratio`` times as frequent as the word itself.
     """
-    page = pages(chunks)
+    page = staged(pages(chunks), "pages")
     clean = staged(clean_words(page), "vocabulary")
     lines = staged(read_lines(page.where("scanned and content is not null")), "lines")
     body = lines.where("kind = 'body'")
@@ -402,6 +430,72 @@ def repairs(chunks: DataFrame, *, most_cost: float = 1.25, ratio: float = 20.0)
     return lines, plain.unionByName(split).unionByName(misread)
 
 
+def paragraph_numbers(lines: DataFrame) -> DataFrame:
+    """Body lines with ``paragraph``: their number along the whole document.
+
+    A line opens a paragraph if it is indented or follows a blank line. The first line of a
+    page goes on with the page before if that page ends inside of a word or a sentence, or
+    in a full line, or if it begins with a small letter. Pages are numbered first, by one row
+    each, so no document is sorted line by line in one place.
+    """
+    body = lines.where("kind = 'body'")
+    ends = body.where("at_start or at_end").groupBy("document_id", "chunk_index").agg(
+        F.max(F.when(F.col("at_start"), F.struct("text", "opens"))).alias("first"),
+        F.max(F.when(F.col("at_end"), F.struct("text", "full", F.col("broken").isNotNull().alias("broken")))).alias("last"),
+    )
+    inside = body.where("opens and not at_start").groupBy("document_id", "chunk_index").agg(F.count(F.lit(1)).alias("inner"))
+    before = F.lag("last").over(Window.partitionBy("document_id").orderBy("chunk_index"))
+    page = ends.join(inside, ["document_id", "chunk_index"], "left").withColumn("b", before)
+    done = F.col("b.text").rlike(r"[.!?:]['\"”’)]*$") & ~F.col("b.full") & ~F.col("first.text").rlike(r"^\p{Ll}")
+    new = F.col("b").isNull() | (~F.col("b.broken") & (F.col("first.opens") | done))
+    page = page.select("document_id", "chunk_index", new.cast("int").alias("new"), F.coalesce("inner", F.lit(0)).alias("inner"))
+    total = F.sum(F.col("new") + F.col("inner")).over(Window.partitionBy("document_id").orderBy("chunk_index"))
+    page = page.withColumn("first_number", total - F.col("inner") - 1).select("document_id", "chunk_index", "first_number")
+    within = F.sum((F.col("opens") & ~F.col("at_start")).cast("int")).over(Window.partitionBy("document_id", "chunk_index").orderBy("line_no"))
+    return body.join(page, ["document_id", "chunk_index"]).withColumn("paragraph", F.col("first_number") + within).drop("first_number")
+
+
+def reflowed(rows: list[dict]) -> str:
+    """One text of the lines of a paragraph, with its repairs; the end of a broken word is not repeated."""
+    parts: list[str] = []
+    taken = False
+    for r in rows:
+        words = r["text"].split()[1 if taken else 0 :]
+        for f in r["fix"] if r["fix"] is not None else ():
+            words = [w.replace(f["read"], f["word"]) if w.strip(EDGE.replace("|", "")) == f["read"] else w for w in words]
+        taken = r["word"] is not None
+        if taken and words:
+            words[-1] = r["word"]
+        parts += words
+    return " ".join(parts)
+
+
+def repaired_paragraphs(chunks: DataFrame, **options) -> DataFrame:
+    """(document_id, paragraph, first_page, last_page, text): the continuous paragraphs of every scanned document.
+
+    Furniture is gone, words broken across lines or pages are whole, misread words are right,
+    and a paragraph that runs over a page end is one row. Pages are chunk_index. Treats null,
+    blank and repeated input as ``repairs`` does.
+    """
+    lines, cases = repairs(chunks, **options)
+    cases = staged(cases, "cases")
+    fix = cases.where("kind = 'misread'").groupBy("chunk_id", "line_no").agg(F.collect_set(F.struct("read", "word")).alias("fix"))
+    cut = cases.where("kind = 'broken'").select("chunk_id", "line_no", F.col("read").alias("part"), "word")
+    rows = paragraph_numbers(lines).join(fix, ["chunk_id", "line_no"], "left").join(cut, ["chunk_id", "line_no"], "left")
+    whole = rows.groupBy("document_id", "paragraph").agg(
+        F.min("chunk_index").alias("first_page"), F.max("chunk_index").alias("last_page"),
+        F.array_sort(F.collect_list(F.struct("chunk_index", "line_no", "text", "part", "word", "fix"))).alias("lines"),
+    )
+
+    @F.pandas_udf(T.StringType())
+    def reflow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([reflowed(x) for x in s], dtype=object)
+
+    text = whole.select("document_id", F.col("paragraph").cast("long").alias("paragraph"), "first_page", "last_page", reflow("lines").alias("text"))
+    return text.where("text <> ''")
+
+
 def repaired_pages(chunks: DataFrame, **options) -> DataFrame:
     """(document_id, chunk_id, chunk_index, continues, text): every scanned page as continuous text.
 

@@ -43,6 +43,33 @@ def test_pages_become_continuous_text(spark):
     assert rows["s1"] == (True, "measures of the garden compares")
 
 
+def test_paragraphs_run_over_page_ends(spark):
+    pages = PAGES + [
+        ("t0", "t", 0, "  First lines of a text that\ngoes on and ends here.\n\nAnother paragraph that has no end at the", "T", "png", None),
+        ("t1", "t", 1, "Garden of the page.\nDone.", "T", "png", None), ("t2", "t", 2, "A new paragraph.", "T", "png", None),
+    ]
+    got = {}
+    for r in scans.repaired_paragraphs(table(spark, pages)).orderBy("document_id", "paragraph").collect():
+        got.setdefault(r["document_id"], []).append((r["first_page"], r["last_page"], r["text"]))
+    assert got["s"] == [(0, 2, "the machine compares every modern registry during low-latency measures of the garden compares the machine")]
+    assert got["t"] == [
+        (0, 0, "First lines of a text that goes on and ends here."), (0, 1, "Another paragraph that has no end at the Garden of the page. Done."), (2, 2, "A new paragraph."),
+    ]
+    assert scans.repaired_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_misread_words_are_looked_up(spark):
+    long = "electroencephalographically" * 2 + "measured"
+    rows = [("s0", "s", 0, "it was " + long.replace("measured", "rneasured") + " again", None, "png", None), ("c0", "c", 0, f"it was {long} again " * 30, None, "md", None)]
+    assert len(long) > 60 and cases(table(spark, rows)) == {("s0", 0, "misread", long)}
+
+
+def test_repeated_lines_are_found_by_common_runs():
+    lines = ("tgardenreportoftheyear", "tquarterlyminutes", "bshort")
+    assert scans.known_line("gardenreportotheyear", "t", lines) and scans.known_line("quarterlyminutes", "t", lines)
+    assert not scans.known_line("gardenreportotheyear", "b", lines) and not scans.known_line("somethingelseentirely", "t", lines)
+
+
 def test_nulls_blanks_repeats_and_empty(spark):
     rows = [
         ("a", "s", 0, None, None, "png", None), ("b", "s", 1, "", None, "png", None), ("c", "s", 2, " \n ", None, "png", None),
