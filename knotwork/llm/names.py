@@ -2,13 +2,14 @@
 
 Noisy-channel attribution. Every distinct spelling is parsed into hypotheses of its parts
 (surname and given name; brand and following words). Frequent full spellings are the
-candidate canonical forms. Candidates meet a spelling over keys of the main part with one
-letter left out, so that any single typo still shares a key. A candidate's posterior is its
-frequency prior times the likelihoods of the operations that turn it into the spelling
-(reordering, typo, sound-alike spelling, nickname, initial, abbreviation); their
-probabilities start from documented values and are re-estimated from the links themselves.
-Each spelling is attached to its maximum posterior of higher rank, and the roots of these
-attachments are the entities.
+candidate canonical forms. Distinct main parts meet over keys with one letter left out, so
+that any single typo still shares a key; spellings meet over pairs of main parts and the
+first letters of their further parts. A candidate's posterior is its frequency prior times
+the likelihoods of the operations that turn it into the spelling (reordering, the kinds of
+typo, sound-alike spelling, nickname, initial, abbreviation); their probabilities start from
+documented values and are re-estimated from the links themselves. Each spelling is attached
+to its maximum posterior of higher rank, unless that it is a new name is more likely, and
+the roots of these attachments are the entities.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.operators.resolve import components
 from knotwork.runtime import staged
 
 # Type labels of one kind.
@@ -41,7 +43,7 @@ LEGAL = {
 THAI_LEGAL = re.compile("บริษัท|จำกัด|มหาชน")
 # Spellings that sound alike, applied in this order.
 SOUNDS = (("oo", "u"), ("ee", "i"), ("sh", "ch"), ("ph", "f"), ("ck", "k"), ("w", "v"))
-LONGEST = 64  # longer main parts are compared as they are, without their shortened keys
+HALF = 32  # main parts of more than twice this length meet over equal halves instead of shortened forms
 
 HYPOTHESIS = T.StructType([
     T.StructField("form", T.StringType()), T.StructField("main", T.StringType()),
@@ -50,13 +52,17 @@ HYPOTHESIS = T.StructType([
 PARSED = T.StructType([
     T.StructField("hyps", T.ArrayType(HYPOTHESIS)), T.StructField("quoted", T.StringType()),
 ])
-# Starting probabilities of the operations; re-estimated from the data.
+# Starting probabilities of the operations; re-estimated from the data. A typo is a letter left out
+# (drop), added, changed or moved by one place (swap), or one in the spelling by sound (heard).
+TYPOS = {"drop": 0.3, "add": 0.2, "change": 0.3, "swap": 0.15, "heard": 0.05}
 OPERATIONS = {
     "form": {"plain": 0.8, "turned": 0.1, "joined": 0.05},
-    "main": {"same": 0.85, "sound": 0.03, "typo": 0.1},
-    "a": {"same": 0.7, "typo": 0.06, "nick": 0.06, "initial": 0.08, "short": 0.03, "acronym": 0.04, "none": 0.03},
-    "b": {"same": 0.8, "typo": 0.06, "short": 0.06, "acronym": 0.04, "none": 0.03},
+    "main": {"same": 0.85, "sound": 0.03} | {k: 0.1 * p for k, p in TYPOS.items()},
+    "a": {"same": 0.7, "nick": 0.06, "initial": 0.08, "short": 0.03, "acronym": 0.04, "none": 0.03} | {k: 0.06 * p for k, p in TYPOS.items()},
+    "b": {"same": 0.8, "short": 0.06, "acronym": 0.04, "none": 0.03} | {k: 0.06 * p for k, p in TYPOS.items()},
 }
+# Logarithm of the chance that a spelling which is this near to another one is a name of its own.
+NEW_NAME = -13.0
 
 
 def plain(text: str) -> str:
@@ -148,31 +154,45 @@ def sound(c: Column) -> Column:
 
 
 def shortened(c: Column) -> Column:
-    """The string and all strings that lack one of its letters; only itself if it is long."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(c)),
-        lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))),
-    )
-    few = (F.length(c) > 2) & (F.length(c) <= LONGEST)
-    return F.when(few, F.array_distinct(F.concat(F.array(c), cut))).otherwise(F.array(c))
+    """Keys that strings of one typo share: the string and all strings that lack one of its letters, or, for long ones, its halves.
 
+    One typo leaves the first or the last ``HALF`` letters of a string of more than twice
+    that length as they are; lengths about the limit have both kinds of keys.
+    """
+    n = F.length(c)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
+    none = F.array().cast("array<string>")
+    letters = F.when((n > 2) & (n <= 2 * HALF + 2), cut).otherwise(none)
+    halves = F.when(n > 2 * HALF - 2, F.array(F.concat(F.lit("<"), F.substring(c, 1, HALF)), F.concat(F.lit(">"), F.right(c, F.lit(HALF))))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(c), letters, halves))
 
-def block_keys(kind: Column, main: Column, by_sound: Column, a: Column, b: Column, initials: Column) -> Column:
-    """Keys over which a hypothesis meets candidates; see the module's text."""
-    first = F.array_distinct(F.filter(initials, lambda x: x != ""))
-    mains = F.array_union(shortened(main), shortened(by_sound))
-    person = F.concat(
-        F.flatten(F.transform(mains, lambda m: F.transform(first, lambda i: F.concat(m, F.lit("|"), i)))),
-        F.transform(shortened(a), lambda g: F.concat(by_sound, F.lit("+"), g)),
-    )
-    two = F.concat(F.lit("|"), F.substring(a, 1, 1), F.when(b == "", F.substring(a, 2, 1)).otherwise(F.substring(b, 1, 1)))
-    organisation = F.concat(F.array(by_sound), F.transform(mains, lambda m: F.concat(m, two)))
-    return F.when(kind == "P", person).otherwise(organisation)
 
+def full_keys(kind: Column, a: Column, b: Column) -> Column:
+    """Keys of the further parts of a full spelling."""
+    two = F.concat(F.lit("t"), F.substring(a, 1, 1), F.substring(b, 1, 1))
+    person = F.array_union(F.array(F.concat(F.lit("i"), F.substring(a, 1, 1))), _front_keys(a))
+    return F.when(kind == "P", person).otherwise(F.array(two, F.lit("b")))
 
-def hashed(keys: Column) -> Column:
-    """Short keys for the shuffle; what a collision brings together is told apart by the operations."""
-    return F.transform(keys, lambda k: F.xxhash64(k))
+
+def asked_keys(kind: Column, a: Column, b: Column, initials: Column, alike: Column) -> Column:
+    """Keys over which a hypothesis meets full spellings of one main part.
+
+    Persons meet over the first letter of the given name or of a formal name for it and, if
+    the surnames sound the same, over the given name without one of its first two letters.
+    Organisations meet over the first letters of the two further words (or of an acronym),
+    a bare main part meets all of them.
+    """
+    first = F.transform(F.array_distinct(F.filter(initials, lambda x: x != "")), lambda i: F.concat(F.lit("i"), i))
+    person = F.when(alike, F.array_union(first, _front_keys(a))).otherwise(first)
+    two = F.concat(F.lit("t"), F.substring(a, 1, 1), F.when(b == "", F.substring(a, 2, 1)).otherwise(F.substring(b, 1, 1)))
+    return F.when(kind == "P", person).otherwise(F.array(F.when((a == "") & (b == ""), F.lit("b")).otherwise(two)))
+
+
+def _front_keys(a: Column) -> Column:
+    """The string, and the string without its first and without its second letter."""
+    n = F.length(a)
+    keys = F.array(a, F.substring(a, F.lit(2), n), F.concat(F.substring(a, 1, 1), F.substring(a, F.lit(3), n)))
+    return F.when(n > 2, F.transform(keys, lambda k: F.concat(F.lit("d"), k))).otherwise(F.array().cast("array<string>"))
 
 
 def near(a: Column, b: Column) -> Column:
@@ -180,6 +200,16 @@ def near(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 2) & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.least(F.length(a), F.length(b)) >= 3)
 
 
+def typo(a: Column, b: Column) -> Column:
+    """The kind of the typo that makes ``a`` of ``b``; null if they are not one typo apart."""
+    letters = [F.array_sort(F.split(x, "")) for x in (a, b)]
+    kind = (
+        F.when(F.length(a) < F.length(b), "drop").when(F.length(a) > F.length(b), "add")
+        .when(letters[0] == letters[1], "swap").otherwise("change")
+    )
+    return F.when(near(a, b), kind)
+
+
 def shortens(short: Column, full: Column) -> Column:
     """An abbreviation: the first letter and further letters of the full word in their order."""
     pattern = F.concat(F.lit("^"), F.array_join(F.split(short, ""), ".*"))
@@ -207,8 +237,26 @@ def spellings(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ids.select("node_id", "s"), weights, hyps
 
 
+def main_pairs(ask: DataFrame, full: DataFrame) -> DataFrame:
+    """(kind, main, other, alike): the main parts of full spellings that are equal, one typo apart or nearly alike by sound.
+
+    Only distinct main parts meet, over the keys of their letters and of their sound; a key
+    is shared by few, since it leaves one letter open. ``alike``: they sound the same.
+    """
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        d = rows.select("kind", F.col("main").alias(name), F.col("snd").alias(f"snd_{name}")).distinct()
+        written = F.transform(shortened(F.col(name)), lambda k: F.xxhash64("kind", F.lit("w"), k))
+        heard = F.transform(shortened(F.col(f"snd_{name}")), lambda k: F.xxhash64("kind", F.lit("s"), k))
+        return d.select("kind", name, f"snd_{name}", F.explode(F.array_union(written, heard)).alias("k"))
+
+    met = keyed(ask, "main").join(keyed(full, "other"), ["kind", "k"]).drop("k").distinct()
+    alike = F.col("snd_main") == F.col("snd_other")
+    close = (F.col("main") == F.col("other")) | alike | near(F.col("main"), F.col("other")) | near(F.col("snd_main"), F.col("snd_other"))
+    return met.where(close).select("kind", "main", "other", alike.alias("alike"))
+
+
 def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(s, c, weight, form, main_op, a_op, b_op): candidate canonical spellings with the operations they need."""
+    """(s, c, weight, own_weight, form, main_op, a_op, b_op): candidate canonical spellings with the operations they need."""
     listed = nicknames.select(F.lower("formal_name").alias("formal"), F.lower("short_name").alias("short"))
     learned = hyps.where("kind = 'P' and quoted is not null and own").select(F.col("a").alias("formal"), F.col("quoted").alias("short"))
     nicks = listed.unionByName(learned).where("formal <> short").distinct()
@@ -220,7 +268,6 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     full = full.withColumn("snd", sound(F.col("main")))
     ids = staged(weights.select("s").withColumn("sid", F.monotonically_increasing_id()), "ids")
     full = staged(full.join(ids.withColumnRenamed("s", "c"), "c").withColumnRenamed("sid", "cid"), "full")
-    firsts = F.array(F.substring("a", 1, 1))
     ask = hyps.join(nicks, hyps["a"] == nicks["short"], "left").join(common, ["kind", "a"], "left")
     ask = ask.join(weights.withColumnRenamed("weight", "own_weight"), "s")
     ask = ask.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("snd", sound(F.col("main")))
@@ -232,15 +279,17 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     ask = ask.withColumn("is_full", F.max(is_full).over(Window.partitionBy("s")))
     ask = staged(ask.join(ids, "s").withColumns({"initials": initials, "hid": F.monotonically_increasing_id()}), "ask")
     # only ids and hashed keys are shuffled to find who meets whom
-    parts = [F.col(c) for c in ("kind", "main", "snd", "a", "b")]
-    v = ask.select("hid", "sid", F.explode(hashed(block_keys(*parts, F.col("initials")))).alias("k"))
-    w = full.select("cid", F.explode(hashed(block_keys(*parts, firsts))).alias("k"))
-    met = v.join(w, "k").where("sid <> cid").select("hid", "cid").distinct()
+    met_mains = staged(main_pairs(ask, full), "mains")
+    asks = ask.select("kind", "main", "a", "b", "initials", "hid", "sid").join(met_mains, ["kind", "main"])
+    keys = asked_keys(*[F.col(c) for c in ("kind", "a", "b", "initials", "alike")])
+    v = asks.select("hid", "sid", "kind", "other", F.explode(keys).alias("g")).select("hid", "sid", F.xxhash64("kind", "other", "g").alias("k"))
+    w = full.select("cid", "kind", "main", F.explode(full_keys(F.col("kind"), F.col("a"), F.col("b"))).alias("g"))
+    met = v.join(w.select("cid", F.xxhash64("kind", "main", "g").alias("k")), "k").where("sid <> cid").select("hid", "cid").distinct()
     pairs = met.join(ask.alias("v"), "hid").join(full.alias("w"), "cid").where("v.kind = w.kind")
     va, vb, wa, wb = (F.col(x) for x in ("v.a", "v.b", "w.a", "w.b"))
     person = F.col("v.kind") == "P"
-    main_op = F.when(F.col("v.main") == F.col("w.main"), "same").when(F.col("v.snd") == F.col("w.snd"), "sound").when(
-        near(F.col("v.main"), F.col("w.main")) | near(F.col("v.snd"), F.col("w.snd")), "typo"
+    main_op = F.when(F.col("v.main") == F.col("w.main"), "same").when(F.col("v.snd") == F.col("w.snd"), "sound").otherwise(
+        F.coalesce(typo(F.col("v.main"), F.col("w.main")), F.when(near(F.col("v.snd"), F.col("w.snd")), "heard"))
     )
     rare = (F.col("v.common") <= 2) | (F.col("v.common") * 10 <= F.col("w.common"))
     rarer = F.col("v.common") * 3 < F.col("w.common")
@@ -248,17 +297,17 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
         F.when(va == wa, "same")
         .when((F.length(va) == 1) & (va == F.substring(wa, 1, 1)), "initial")
         .when(F.array_contains("v.formals", wa), "nick")
-        .when(near(va, wa) & rare & F.col("v.formals").isNull(), "typo")
+        .when(near(va, wa) & rare & F.col("v.formals").isNull(), typo(va, wa))
         .when((F.length(va) >= 3) & (F.length(va) <= 5) & F.startswith(wa, va) & rarer, "short")
-        .when((F.length(va) >= 3) & near(sound(va), sound(wa)) & rare, "typo")
+        .when((F.length(va) >= 3) & near(sound(va), sound(wa)) & rare, "heard")
         .when(va == "", "none")
     )
     acronym = (vb == "") & (F.length(va).between(2, 3)) & (va == F.concat(F.substring(wa, 1, 1), F.substring(wb, 1, 1)))
     bare = (va == "") & (vb == "")
 
     def word_op(x: Column, y: Column) -> Column:
-        return F.when(x == y, "same").when(near(x, y), "typo").when(shortens(x, y), "short").when(
-            (F.levenshtein(x, y) <= 3) & (F.length(y) >= 6), "typo"
+        return F.when(x == y, "same").when(near(x, y), typo(x, y)).when(shortens(x, y), "short").when(
+            (F.levenshtein(x, y) <= 3) & (F.length(y) >= 6), "heard"
         )
 
     a_op = F.when(person, given_op).when(bare, "none").when(acronym, "acronym").otherwise(word_op(va, wa))
@@ -267,11 +316,11 @@ def candidates(weights: DataFrame, hyps: DataFrame, nicknames: DataFrame) -> Dat
     # a given name that is rare against the other follows at any frequency
     higher = F.struct("w.weight", "w.c") > F.struct("v.own_weight", "v.s")
     derived = F.col("a_op").isin("short", "nick", "acronym") | F.col("b_op").isin("short", "acronym")
-    derived = derived | (person & (F.col("a_op") == "typo") & (F.col("v.common") < F.col("w.common")))
+    derived = derived | (person & F.col("a_op").isin(*TYPOS) & (F.col("v.common") < F.col("w.common")))
     pairs = pairs.withColumn("a_op", a_op).withColumn("b_op", b_op).withColumn("main_op", main_op)
     pairs = pairs.where(~F.col("v.is_full") | higher | derived)
     return pairs.select(
-        F.col("v.s").alias("s"), F.col("w.c").alias("c"), F.col("w.weight").alias("weight"), F.col("v.form").alias("form"),
+        F.col("v.s").alias("s"), F.col("w.c").alias("c"), F.col("w.weight").alias("weight"), F.col("v.own_weight").alias("own_weight"), F.col("v.form").alias("form"),
         "main_op", "a_op", "b_op",
     ).where("main_op is not null and a_op is not null and b_op is not null").distinct()
 
@@ -284,20 +333,20 @@ def _posterior(prob: dict[str, dict[str, float]]) -> Column:
     return total
 
 
-def attached(found: DataFrame, least: float = -9.0, rounds: int = 2) -> DataFrame:
+def attached(found: DataFrame, rounds: int = 2, new_name: float = NEW_NAME) -> DataFrame:
     """(s, c): every spelling with its candidate of maximum posterior; probabilities are re-estimated ``rounds - 1`` times.
 
-    ``least`` is the smallest log likelihood of the operations (without the prior) that is believed.
+    A spelling stays on its own where the hypothesis of a new name is more likely than every
+    candidate: its prior is the spelling's own frequency times the chance ``new_name``.
     """
     prob = OPERATIONS
     w = Window.partitionBy("s").orderBy(F.desc("post"), F.desc("weight"), "c")
     for r in range(rounds):
-        post = _posterior(prob)
-        scored = found.withColumn("post", post).where(F.col("post") - F.log("weight") >= least)
+        scored = found.withColumn("post", _posterior(prob)).where(F.col("post") > F.log("own_weight") + new_name)
         best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
         if r < rounds - 1:
             seen: dict[tuple[str, str], int] = {}
-            for row in best.groupBy("form", "main_op", "a_op", "b_op").count().collect():
+            for row in best.groupBy("form", "main_op", "a_op", "b_op").count().collect():  # at most one row per set of operations
                 for part, op in zip(prob, row[:4], strict=True):
                     seen[(part, op)] = seen.get((part, op), 0) + row[4]
             prob = {
@@ -310,22 +359,30 @@ def attached(found: DataFrame, least: float = -9.0, rounds: int = 2) -> DataFram
     return best.select("s", "c")
 
 
-def roots(links: DataFrame) -> DataFrame:
+def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(s, root): the end of every chain of attachments, by doubling the steps until nothing changes.
 
-    Of two spellings attached to each other the smaller one becomes the root.
+    Of two spellings attached to each other the smaller one becomes the root. Longer circles
+    are what remains when a round ends no chain: of these and what leads to them the smallest
+    spelling is the root. More than ``most_rounds`` rounds are an error.
     """
     back = links.select(F.col("c").alias("s"), F.col("s").alias("c"), F.lit(True).alias("back"))
     links = links.join(back, ["s", "c"], "left").where(F.col("back").isNull() | (F.col("s") > F.col("c")))
-    links = staged(links.select("s", F.col("c").alias("root")), "roots")
-    for _ in range(12):  # chains of up to 4096 steps
+    first = links = staged(links.select("s", F.col("c").alias("root")), "roots")
+    before = -1
+    for _ in range(most_rounds):
         up = links.select(F.col("s").alias("root"), F.col("root").alias("above"))
         nxt = links.join(up, "root", "left").select("s", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
         nxt = staged(nxt, "roots")
-        links = nxt.select("s", "root")
-        if nxt.where("moved").limit(1).count() == 0:
-            break
-    return links
+        links, open_ = nxt.select("s", "root"), nxt.where("moved").count()
+        if open_ == 0:
+            return links
+        if open_ == before:  # a chain would have come to its end for some of its members
+            stuck = first.join(nxt.where("moved").select("s"), "s", "left_semi")
+            circles = components(stuck.select(F.col("s").alias("a"), F.col("root").alias("b")))
+            return nxt.where("not moved").select("s", "root").unionByName(circles.select(F.col("id").alias("s"), "root"))
+        before = open_
+    raise RuntimeError("the attachments did not come to an end")
 
 
 def entities(nodes: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -343,10 +400,19 @@ def entities(nodes: DataFrame, nicknames: DataFrame) -> DataFrame:
     return ids.join(root, "s", "left").select("node_id", F.coalesce("root", "s").alias("entity"))
 
 
-def same_pairs(members: DataFrame) -> DataFrame:
-    """(node_id_a, node_id_b): every pair of nodes of one entity, node_id_a < node_id_b."""
-    many = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
-    rows = members.join(many, "entity", "left_semi")
-    a = rows.select("entity", F.col("node_id").alias("node_id_a"))
-    b = rows.select("entity", F.col("node_id").alias("node_id_b"))
-    return a.join(b, "entity").where("node_id_a < node_id_b").select("node_id_a", "node_id_b")
+def same_pairs(members: DataFrame, block: int = 256) -> DataFrame:
+    """(node_id_a, node_id_b): every pair of nodes of one entity, node_id_a < node_id_b.
+
+    The nodes of a large entity are split into blocks of about ``block``; every pair of
+    blocks is a key of its own.
+    """
+    n = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = members.join(n.select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "entity")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int"))
+    rows = rows.select("entity", "node_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("entity", "node_id", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    a = rows.select("entity", "x", "y", F.col("node_id").alias("node_id_a"), F.col("own").alias("oa"))
+    b = rows.select("entity", "x", "y", F.col("node_id").alias("node_id_b"), F.col("own").alias("ob"))
+    # in a cell of two blocks only pairs across them count, in a cell of one block all
+    met = a.join(b, ["entity", "x", "y"]).where("node_id_a < node_id_b and (x = y or oa <> ob)")
+    return met.select("node_id_a", "node_id_b")

@@ -13,6 +13,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_pairs(names.entities(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "nicknames")))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "nicknames"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, cases = scans.repairs(table(spark, sf_dir, "chunks"))
     return cases.select("chunk_id", "line_no", "kind", "word").distinct()
@@ -70,6 +74,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p3_found": p3_found,
     "p3_pages": p3_pages,
     "p3_paragraphs": p3_paragraphs,

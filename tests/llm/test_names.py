@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from knotwork.llm import names
@@ -62,3 +64,53 @@ def test_nulls_blanks_long_and_empty(spark):
 ])
 def test_parse_person(text, hypothesis):
     assert names.parse_person(text)[0][0] == hypothesis
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def spelt(rng, first, last):
+    """A name as somebody types it: turned, with an initial, or with one typo in the surname."""
+    kind = rng.random()
+    if kind < 0.25:
+        return f"{last}, {first}"
+    if kind < 0.4:
+        return f"{first[0]}. {last}"
+    i, c = rng.randrange(1, len(last) - 1), rng.choice(LETTERS)
+    if kind < 0.7:
+        last = rng.choice([last[:i] + last[i + 1 :], last[:i] + c + last[i:], last[:i] + c + last[i + 1 :], last[: i - 1] + last[i] + last[i - 1] + last[i + 1 :] if i > 1 else last])
+    return f"{first} {last}"
+
+
+def test_recall_of_made_up_people(spark):
+    rng = random.Random(5)
+    people = [("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)), "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5))) for _ in range(120)]
+    rows, want = [], set()
+    for k, (first, last) in enumerate(people):
+        texts = {f"{first} {last}".title(): 40} | {spelt(rng, first, last).title(): 1 for _ in range(6)}
+        ids = [f"{k:03d}-{i}" for i in range(len(texts))]
+        rows += [(i, t, "PERSON", n) for i, (t, n) in zip(ids, texts.items())]
+        want |= {(a, b) for a in ids for b in ids if a < b}
+    df = spark.createDataFrame(rows, "node_id string, text string, type string, occurrences long")
+    none = spark.createDataFrame([], "formal_name string, short_name string")
+    members = names.entities(df, none)
+    got = {tuple(r) for r in names.same_pairs(members).collect()}
+    assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.99
+    assert {tuple(r) for r in names.same_pairs(members, block=2).collect()} == got
+
+
+def test_typos_in_long_names_and_null_hypothesis(spark):
+    long = "consolidated" * 9
+    rows = [("a", f"{long} Trading Partners Ltd", "ORG", 9), ("b", f"{long[:70]}x{long[70:]} Trading Partners", "company", 1), ("c", f"{long[1:]} Trading Partners", "ORG", 1), ("d", "Quite Another Name Inc", "ORG", 1)]
+    df = spark.createDataFrame(rows, "node_id string, text string, type string, occurrences long")
+    members = {r["node_id"]: r["entity"] for r in names.entities(df, spark.createDataFrame([], "formal_name string, short_name string")).collect()}
+    assert members["a"] == members["b"] == members["c"] != members["d"]
+    found = spark.createDataFrame([("x", "y", 1, 1000, "turned", "heard", "heard", "none"), ("v", "w", 1000, 1, "plain", "drop", "same", "same")], "s string, c string, weight long, own_weight long, form string, main_op string, a_op string, b_op string")
+    assert [r["s"] for r in names.attached(found, rounds=1).collect()] == ["v"]
+
+
+def test_circles_and_long_chains_have_one_root(spark):
+    chain = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)]
+    circle = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("p", "q"), ("q", "p")]
+    got = {r["s"]: r["root"] for r in names.roots(spark.createDataFrame(chain + circle, "s string, c string")).collect()}
+    assert {got[s] for s, _ in chain} == {"n0300"} and {got[x] for x in "abcd"} == {"a"} and got["q"] == "p"
