@@ -3,8 +3,9 @@
 Vectors are normalised and quantised to 16-bit codes whose high byte is an int8 code.
 Rows meet in tiles; a tile multiplies the int8 codes (held as float32, so the products are
 exact) and keeps the pairs whose cosine can reach the threshold within the proven
-quantisation error; these are recomputed from the full codes and merged into the k best
-per row.
+quantisation error; these are recomputed from the full codes, and the lists of all tiles
+are merged by heaps. Where the error of the codes leaves open which are the k best, or
+whether a cosine reaches the threshold, the float vectors decide.
 
 Which rows share a tile is decided in one of two ways:
 
@@ -19,6 +20,7 @@ Which rows share a tile is decided in one of two ways:
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -38,6 +40,10 @@ COPIES_KEPT = 1  # copies of one vector beyond k + COPIES_KEPT are linked withou
 CODED = T.StructType([
     T.StructField("vec_id", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()),
 ])
+MERGED = T.StructType([
+    T.StructField("x", T.LongType()), T.StructField("ys", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.FloatType())),
+    T.StructField("sure", T.BooleanType()),
+])
 LISTS = T.StructType([
     T.StructField("x", T.LongType()), T.StructField("ys", T.ArrayType(T.LongType())),
     T.StructField("cosines", T.ArrayType(T.FloatType())),
@@ -121,14 +127,57 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pdf["vec_id"].to_numpy(), codes, pdf["scale"].to_numpy(np.float32)
 
 
-def best_k(lists: DataFrame, k: int) -> DataFrame:
-    """(x, y, cosine, rank): the k best of the partial lists of every vector, ties by smaller id."""
-    pairs = (
-        lists.repartition("x").select("x", F.explode(F.arrays_zip("ys", "cosines")).alias("e"))
-        .groupBy("x", F.col("e.ys").alias("y")).agg(F.max("e.cosines").cast("double").alias("cosine"))
+def cosine_error(dim: int) -> float:
+    """A bound of the error of a cosine of 16-bit codes: every coordinate is off by at most 1 / 65024."""
+    return 2 * math.sqrt(dim) / 65024 + 1e-6
+
+
+def merged_lists(lists: DataFrame, k: int, error: float, min_cosine: float | None = None) -> DataFrame:
+    """(x, ys, cosines, sure): the best of the partial lists of every vector, merged by a heap, ties by smaller id.
+
+    ``SPARE`` more than ``k`` are kept. ``sure``: no cosine of the first k can change its place
+    with a later one, or pass ``min_cosine``, within the error.
+    """
+    def row(x: int, best: dict[int, float]) -> tuple:
+        top = heapq.nsmallest(k + SPARE, best.items(), key=lambda e: (-e[1], e[0]))
+        c = [e[1] for e in top]
+        sure = len(c) <= k or c[k - 1] - c[k] > 2 * error
+        if min_cosine is not None:
+            sure = sure and all(abs(v - min_cosine) > error for v in c)
+        return x, [e[0] for e in top], c, sure
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, best = None, {}
+        for pdf in batches:
+            out = []
+            for x, ys, cosines in zip(pdf["x"].tolist(), pdf["ys"], pdf["cosines"], strict=True):
+                if x != last:
+                    if best:
+                        out.append(row(last, best))
+                    last, best = x, {}
+                for y, c in zip(ys.tolist(), cosines.tolist(), strict=True):
+                    if c > best.get(y, -9.0):
+                        best[y] = c
+            yield pd.DataFrame(out, columns=MERGED.fieldNames())
+        if best:
+            yield pd.DataFrame([row(last, best)], columns=MERGED.fieldNames())
+
+    return lists.repartition("x").sortWithinPartitions("x").mapInPandas(merge, MERGED)
+
+
+def settled(merged: DataFrame, rows: DataFrame, k: int, min_cosine: float | None, broadcast_rows: int = 200_000) -> DataFrame:
+    """(x, y, cosine, rank): the k best of every list; where the codes leave a doubt, by the cosines of the float vectors."""
+    merged = staged(merged, "merged")
+    kept = F.arrays_zip("ys", "cosines")
+    sure = merged.where("sure").select("x", F.posexplode(F.slice(kept, 1, k)).alias("rank", "e")).select(
+        "x", F.col("e.ys").alias("y"), F.col("e.cosines").cast("double").alias("cosine"), (F.col("rank") + 1).alias("rank")
     )
-    w = Window.partitionBy("x").orderBy(F.desc("cosine"), "y")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    doubt = staged(merged.where("not sure").select("x", F.explode("ys").alias("y")), "doubt")
+    ids = doubt.select(F.col("x").alias("vec_id")).unionByName(doubt.select(F.col("y").alias("vec_id"))).distinct()
+    few = ids.count() <= broadcast_rows
+    asked = rows.join(F.broadcast(ids) if few else ids, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    both = sure.unionByName(refined(doubt, asked, k))
+    return both if min_cosine is None else both.where(F.col("cosine") >= min_cosine)
 
 
 def refined(found: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -274,6 +323,8 @@ def similar_vectors(
                 "cells": list(np.concatenate(near, axis=1).astype(np.int32)),
             })
 
+    error = cosine_error(dim)
+    least = None if min_cosine is None else min_cosine - error
     placed = rows.mapInPandas(place, schema)
     sizes = {int(c): math.ceil(expected[c] / block_rows) for c in np.flatnonzero(expected > block_rows)}
     member = placed.select("vec_id", "code", "scale", F.explode("cells").alias("cell"))
@@ -293,14 +344,14 @@ def similar_vectors(
         ids, codes, scales = _unpack(pdf)
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         if i == j:
-            return _lists(ids, *tile_neighbours(ids, codes, scales, k, min_cosine))
+            return _lists(ids, *tile_neighbours(ids, codes, scales, k + SPARE, least))
         left = pdf["own"].to_numpy() == i
-        one = _lists(ids, *tile_neighbours(ids, codes, scales, k, min_cosine, left, ~left))
-        two = _lists(ids, *tile_neighbours(ids, codes, scales, k, min_cosine, ~left, left))
+        one = _lists(ids, *tile_neighbours(ids, codes, scales, k + SPARE, least, left, ~left))
+        two = _lists(ids, *tile_neighbours(ids, codes, scales, k + SPARE, least, ~left, left))
         return pd.concat([one, two])
 
     lists = member.groupBy("cell", "i", "j").applyInPandas(tile, LISTS)
-    found = best_k(lists, k)
+    found = settled(merged_lists(lists, k, error, min_cosine), rows, k, min_cosine)
     w = Window.partitionBy("x").orderBy("y")
     return found.unionByName(links.withColumn("rank", F.row_number().over(w)))
 
@@ -329,4 +380,5 @@ def similar_to_queries(
         return _lists(ids, *tile_neighbours(ids, codes, scales, k + SPARE, None, mine, ~mine))
 
     lists = targets.unionByName(queries).groupBy("t", "q").applyInPandas(tile, LISTS)
-    return refined(best_k(lists, k + SPARE), rows, k)
+    best = merged_lists(lists, k, cosine_error(dim)).select("x", F.explode("ys").alias("y"))
+    return refined(best, rows, k)

@@ -83,3 +83,24 @@ def test_quantisation_keeps_the_cosine(dim):
     x = codes * scales[:, None].astype(np.float64)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     assert np.abs(x @ x.T - u @ u.T).max() < 1e-4
+
+
+def test_doubtful_places_are_settled_by_the_float_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1, 16))
+    m = (base + rng.normal(size=(40, 16)) * 1e-5).astype(np.float32)  # cosines closer than the codes can tell
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)], "vec_id long, embedding array<float>")
+    unit = m.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    merged = neighbours.merged_lists(
+        spark.createDataFrame([(1, [2, 3], [0.9, 0.8]), (1, [4, 2], [0.85, 0.9]), (5, [6], [0.7])], neighbours.LISTS), 2, 1e-4, None
+    )
+    got = {r["x"]: (r["ys"], r["sure"]) for r in merged.collect()}
+    assert got == {1: ([2, 4, 3], True), 5: ([6], True)}
+    close = spark.createDataFrame([(1, [2, 3, 4], [0.9, 0.8, 0.79995])], neighbours.LISTS)
+    assert [r["sure"] for r in neighbours.merged_lists(close, 2, 1e-4).collect()] == [False]
+    candidates = spark.createDataFrame([(i, [int(j) for j in range(40) if j != i], [1.0] * 39, False) for i in range(40)], neighbours.MERGED)
+    best = {(r["x"], r["rank"]): r["y"] for r in neighbours.settled(candidates, df, 3, None).collect()}
+    assert best == {(i, n): int(j) for i in range(40) for n, j in enumerate(np.lexsort((np.arange(40), -s[i]))[:3], 1)}
