@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.lookalike import joined_sequences, single_classes
+from knotwork.llm.lookalike import confusable_letters, joined_sequences, single_classes, use
 
 WINDOW = 60
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,21 +46,33 @@ def stream(text: str) -> np.ndarray:
     return cp[kept()[cp]]
 
 
-def traced(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """As ``stream``, with the place in ``text`` that every code point comes from."""
-    chars, places = [], []
-    for m in re.finditer(r"[^\W_][^\w\s]*|.", text, re.DOTALL):
-        s = single_classes(m.group()).casefold()
-        chars.append(s)
-        places += [m.start()] * len(s)
-    s, at = "".join(chars), 0
-    joined, origin = joined_sequences(s), []
-    for c in joined:  # a joined sequence is shorter than what it stands for
-        origin.append(places[at] if at < len(places) else len(text))
-        at += 1 if at < len(s) and s[at] == c else 2
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    keep = kept()[cp]
-    return cp[keep], np.array(origin, dtype=np.int64)[keep]
+def traced(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``stream``, with the start and the end of the piece of ``text`` that every code point comes from.
+
+    Pieces are letters with their marks. Where these, taken one by one, read otherwise than
+    the whole text, the pieces are what stands between white space, so a place is exact to a
+    word; where even these do, the whole text is one piece.
+    """
+    whole = stream(text)
+    for pattern in (r"[^\W_][^\w\s]*|.", r"\S+", r".+"):
+        chars, starts, ends = [], [], []
+        for m in re.finditer(pattern, text, re.DOTALL):
+            s = single_classes(m.group()).casefold()
+            chars.append(s)
+            starts += [m.start()] * len(s)
+            ends += [m.end()] * len(s)
+        s = "".join(chars)
+        joined, first, last, at = joined_sequences(s), [], [], 0
+        for c in joined:  # a joined sequence is shorter than what it stands for
+            width = 1 if at < len(s) and s[at] == c else 2
+            first.append(starts[min(at, len(s) - 1)])
+            last.append(ends[min(at + width, len(s)) - 1])
+            at += width
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        keep = kept()[cp]
+        if np.array_equal(cp[keep], whole):
+            break
+    return whole, np.array(first, dtype=np.int64)[keep], np.array(last, dtype=np.int64)[keep]
 
 
 class Powers:
@@ -144,6 +156,8 @@ def leaked_spans(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max
     they are broadcast in blocks, each against all documents.
     """
     spark = docs.sparkSession
+    more = confusable_letters(spark)
+    use(more)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     cost = items.agg(F.sum(F.length("text") * BYTES_PER_WINDOW)).first()[0] or 0
@@ -155,16 +169,14 @@ def leaked_spans(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             passages, powers = shared.value, Powers()
+            use(more)
             for pdf in batches:
                 out = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     hits = passages.hits(stream(text), powers)
                     if hits:
-                        cp, origin = traced(text)
-                        hits = passages.hits(cp, powers) or hits
-                        origin = np.r_[origin, np.full(window, len(text))]
-                        for o, a, b in _runs(hits, window):
-                            out.append((doc_id, passages.ids[o], int(origin[a]), int(origin[b - 1]) + 1))
+                        _, starts, ends = traced(text)
+                        out += [(doc_id, passages.ids[o], int(starts[a]), int(ends[b - 1])) for o, a, b in _runs(hits, window)]
                 yield pd.DataFrame(out, columns=SPANS.fieldNames())
 
         return docs.mapInPandas(find, SPANS)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,15 +42,7 @@ IGNORABLE = re.compile(
 SPACES = re.compile("[   -   　]")
 THAI_MARKS = re.compile("[ัิ-ฺ็-๎]{2,}")
 TWINS = {ord(a): b for alike, latin in (CYRILLIC, GREEK, ARMENIAN, LATIN) for a, b in zip(alike, latin, strict=True)}
-# Letters that carry marks look like the Latin twin with the same marks.
-MARKED = {
-    c: unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(c)).translate(TWINS))
-    for c in range(0x370, 0x2000)
-    if c not in TWINS and len(d := unicodedata.normalize("NFD", chr(c))) > 1 and ord(d[0]) in TWINS
-}
 MARKS = "".join(map(chr, range(0x300, 0x370)))
-SINGLE = TWINS | MARKED | {ord(a): b for a, b in OTHERS.items()}
-SPECIAL = re.compile("[" + "".join(map(chr, SINGLE)) + "]")
 LETTERS = 0x590  # Latin, Greek, Cyrillic and Armenian letters lie below
 TOKEN = re.compile("([A-Za-zÀ-ɏɐ-ʯͰ-֏]+)")
 SWITCH = 50.0  # cost of a change of script inside a token, above any bigram score
@@ -71,9 +63,9 @@ def ordered_marks(s: str) -> str:
 def single_classes(text: str) -> str:
     """The compatible form with every look-alike letter replaced by the name of its class."""
     s = compatible(text)
-    if s.isascii() or not SPECIAL.search(s):
+    if s.isascii() or not LOOKS.special.search(s):
         return s
-    return ordered_marks(unicodedata.normalize("NFC", s.translate(SINGLE)))
+    return ordered_marks(unicodedata.normalize("NFC", s.translate(LOOKS.single)))
 
 
 def joined_sequences(s: str) -> str:
@@ -92,25 +84,60 @@ def script(c: str) -> str:
     return "L" if o < 0x370 else "G" if o < 0x400 else "C" if o < 0x530 else "A" if o < LETTERS else "O"
 
 
-def alternatives() -> dict[str, list[str]]:
-    """For every class name the letters and sequences that stand for it."""
-    out: dict[str, list[str]] = {}
-    for a, b in TWINS.items():
-        out.setdefault(b, [b]).append(chr(a))
-    for c in range(0xC0, 0x250):
-        base, *marks = unicodedata.normalize("NFD", chr(c))
-        if marks and base in out:
-            out[chr(c)] = [unicodedata.normalize("NFC", a + "".join(marks)) for a in out[base]]
-    for sequence, one in SEQUENCES:
-        if one.isascii():
-            out.setdefault(one, [one]).append(sequence)
-    return out
-
-
-ALTERNATIVES = alternatives()
-
-
-SCRIPTS = {c: frozenset(script(a[0]) for a in alts) for c, alts in ALTERNATIVES.items()}
+class Looks:
+    """The look-alike classes of a table of twins (code point: Latin letter)."""
+
+    def __init__(self, twins: dict[int, str]) -> None:
+        self.twins = twins
+        # letters that carry marks look like the Latin twin with the same marks
+        marked = {
+            c: unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(c)).translate(twins))
+            for c in range(0x370, 0x2000)
+            if c not in twins and len(d := unicodedata.normalize("NFD", chr(c))) > 1 and ord(d[0]) in twins
+        }
+        self.single = twins | marked | {ord(a): b for a, b in OTHERS.items()}
+        self.special = re.compile("[" + "".join(map(re.escape, map(chr, self.single))) + "]")
+        self.alternatives = self._alternatives()
+        self.scripts = {c: frozenset(script(a[0]) for a in alts) for c, alts in self.alternatives.items()}
+
+    def _alternatives(self) -> dict[str, list[str]]:
+        """For every class name the letters and sequences that stand for it."""
+        out: dict[str, list[str]] = {}
+        for a, b in self.twins.items():
+            if a < LETTERS:
+                out.setdefault(b, [b]).append(chr(a))
+        for c in range(0xC0, 0x250):
+            base, *marks = unicodedata.normalize("NFD", chr(c))
+            if marks and base in out:
+                out[chr(c)] = [unicodedata.normalize("NFC", a + "".join(marks)) for a in out[base]]
+        for sequence, one in SEQUENCES:
+            if one.isascii():
+                out.setdefault(one, [one]).append(sequence)
+        return out
+
+
+LOOKS = Looks(TWINS)
+
+
+def use(more: dict[int, str]) -> None:
+    """Let this process know further twins; those of the fixed table stay as they are."""
+    global LOOKS
+    twins = more | TWINS
+    if twins != LOOKS.twins:
+        LOOKS = Looks(twins)
+
+
+def confusable_letters(spark: SparkSession) -> dict[int, str]:
+    """Letters of all scripts that the public table of confusable characters gives a single Latin letter as prototype.
+
+    The table is that of the ICU library, which Spark brings along; it is asked once for all
+    code points. Prototypes that are digits or sequences do not count.
+    """
+    blocks = ((0x180, 0x250), (0x250, 0x2B0), (0x370, 0x590), (0x10A0, 0x1100), (0x13A0, 0x1400), (0x1D00, 0x1D80), (0x2C00, 0x2E00), (0xA640, 0xA800), (0xAB30, 0xABC0))
+    letters = [c for a, b in blocks for c in range(a, b) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    prototypes = checker.getSkeleton("\n".join(map(chr, letters))).split("\n")
+    return {c: p for c, p in zip(letters, prototypes, strict=True) if len(p) == 1 and p.isascii() and p.isalpha()}
 
 
 def lattice(token: str) -> list[list[str] | tuple[str]]:
@@ -120,11 +147,11 @@ def lattice(token: str) -> list[list[str] | tuple[str]]:
     """
     common: frozenset[str] | None = None
     for c in token:
-        own = SCRIPTS.get(c) or frozenset(script(c))
+        own = LOOKS.scripts.get(c) or frozenset(script(c))
         common = own if common is None else common & own
         if not common:
-            return [ALTERNATIVES.get(c, (c,)) for c in token]
-    return [[a for a in ALTERNATIVES[c] if script(a[0]) in common] if c in ALTERNATIVES else (c,) for c in token]
+            return [LOOKS.alternatives.get(c, (c,)) for c in token]
+    return [[a for a in LOOKS.alternatives[c] if script(a[0]) in common] if c in LOOKS.alternatives else (c,) for c in token]
 
 
 def best_spelling(token: str, score: dict[tuple[str, str], float], unseen: float) -> str:
@@ -221,18 +248,35 @@ def consistent_form(docs: DataFrame, column: str = "text", out: str = "form") ->
     """Add ``out``: the consistent form of ``column``; null stays null, an empty text empty."""
     spark = docs.sparkSession
     scores, unseen = bigram_scores(bigram_counts(docs, column))
-    shared, run = spark.sparkContext.broadcast((scores, unseen)), uuid.uuid4().hex
+    shared, run = spark.sparkContext.broadcast((scores, unseen, confusable_letters(spark))), uuid.uuid4().hex
 
     @F.pandas_udf(T.StringType())
     def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spell = speller(run, *shared.value)
+        scores, unseen, more = shared.value
+        use(more)
+        spell = speller(run, scores, unseen)
         for s in batches:
             yield pd.Series([None if t is None else spell.text(t) for t in s], dtype=object)
 
     return docs.withColumn(out, form(F.col(column)))
 
 
-def alike_pairs(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+def formed(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, f, t), staged: hashes of the consistent form and of the text itself; null keys and texts are left out."""
+    rows = consistent_form(docs.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()), column)
+    return staged(rows.select(key, F.md5("form").alias("f"), F.md5(column).alias("t")).distinct(), "forms")
+
+
+def alike_classes(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, class, n_links): the class of every document, named by its smallest key, and how many others read alike without being equal."""
+    rows = formed(docs, key, column)
+    per = rows.groupBy("f", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("least"))
+    kinds = per.groupBy("f").agg(F.sum("copies").alias("members"), F.min("least").alias("class"))
+    sizes = per.join(kinds, "f").select("f", "t", "class", (F.col("members") - F.col("copies")).alias("n_links"))
+    return rows.join(sizes, ["f", "t"]).select(key, "class", "n_links")
+
+
+def alike_pairs(docs: DataFrame, key: str = "doc_id", column: str = "text", block: int = 256) -> DataFrame:
     """(key_a, key_b): documents whose texts are not equal but have one consistent form, key_a < key_b.
 
     Null keys and null texts take no part; repeated rows count once; other columns are
@@ -240,13 +284,18 @@ def alike_pairs(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
     texts of one form are paired first and their documents joined afterwards, so copies of
     one text are never paired with each other.
     """
-    rows = consistent_form(docs.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()), column)
-    rows = staged(rows.select(key, F.md5("form").alias("f"), F.md5(column).alias("t")), "forms")
+    rows = formed(docs, key, column)
     texts = rows.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
-    shared = texts.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("f")
-    members = rows.join(shared, "f", "left_semi")
-    kinds = members.select("f", "t").distinct()
-    two = kinds.select("f", F.col("t").alias("t1")).join(kinds.select("f", F.col("t").alias("t2")), "f").where("t1 < t2")
+    shared = texts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = shared.select("f", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = rows.join(shared.select("f"), "f", "left_semi")
+    # the texts of a form are split into blocks; every pair of blocks is a key of its own
+    kinds = texts.join(shared, "f").withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    kinds = kinds.select("f", "t", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    kinds = kinds.select("f", "t", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    one = kinds.select("f", "x", "y", F.col("t").alias("t1"), F.col("own").alias("o1"))
+    two = kinds.select("f", "x", "y", F.col("t").alias("t2"), F.col("own").alias("o2"))
+    two = one.join(two, ["f", "x", "y"]).where("t1 < t2 and (x = y or o1 <> o2)").select("f", "t1", "t2")
     left = members.select(F.col("f"), F.col("t").alias("t1"), F.col(key).alias("a"))
     right = members.select(F.col("f"), F.col("t").alias("t2"), F.col(key).alias("b"))
     pairs = two.join(left, ["f", "t1"]).join(right, ["f", "t2"]).where("a <> b")

@@ -68,6 +68,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_classes(table(spark, sf_dir, "documents"))
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "form")
 
@@ -85,6 +89,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_forms": p8_forms,
 }
 

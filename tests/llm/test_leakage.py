@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from knotwork.llm import leakage
 
 DOCS = "doc_id long, text string, item_id string"
@@ -63,3 +65,22 @@ def test_nulls_short_and_empty(spark):
     assert found.count() == 0
     empty = leakage.leaked_spans(spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "Plain text, with words.", "näive ӓ ﬁne", "คำ ที่ น้ำ เเละ", "r​n and v​v vv", "각 han", "ẹ́x", "", "  ", "x" * 300 + "rn" * 50,
+])
+def test_places_belong_to_the_stream(text):
+    cp, starts, ends = leakage.traced(text)
+    assert len(cp) == len(starts) == len(ends) and (cp == leakage.stream(text)).all()
+    assert all(0 <= a < b <= len(text) for a, b in zip(starts, ends, strict=True)) and (starts[1:] >= starts[:-1]).all()
+
+
+def test_spans_of_texts_that_read_otherwise_letter_by_letter(spark):
+    passage = "น้ำในแม่น้ำ and a passage of sixty letters that stands in the held out items of the suite"
+    inside = passage.replace("น้ำ", "นํ้า")
+    docs = spark.createDataFrame([(1, f"before {inside} after")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    spans = leakage.leaked_spans(docs, items)
+    left = leakage.without_leaks(docs, spans).first()["text"]
+    assert left.startswith("before ") and left.endswith(" after") and "sixty" not in left and "suite" not in left

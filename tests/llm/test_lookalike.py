@@ -81,7 +81,7 @@ def test_skeleton_is_stable_under_normalisation(text):
 
 def brute(token, score, unseen):
     best = None
-    for path in itertools.product(*[lookalike.ALTERNATIVES.get(c, (c,)) for c in token]):
+    for path in itertools.product(*[lookalike.LOOKS.alternatives.get(c, (c,)) for c in token]):
         s = "".join(path)
         cost = -sum(score.get(p, unseen) for p in zip(" " + s, s + " "))
         cost += lookalike.SWITCH * sum(lookalike.script(a[-1]) != lookalike.script(b[0]) for a, b in zip(path, path[1:]))
@@ -93,3 +93,20 @@ def brute(token, score, unseen):
 def test_viterbi_equals_all_paths(token):
     score = {("о", "с"): -1.0, (" ", "о"): -1.0, ("r", "n"): -0.5, ("c", "o"): -0.7, ("с", "о"): -0.9, ("v", "v"): -3.0}
     assert lookalike.best_spelling(token, score, -5.0) == brute(token, score, -5.0)
+
+
+def test_letters_of_the_public_table(spark):
+    more = lookalike.confusable_letters(spark)
+    assert more[0x4C0] == "l" and more[0x433] == "r" and not any(p.isdigit() for p in more.values())
+    texts = ["alтo", "aӀтo"]  # a palochka for the letter l
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    assert {tuple(r) for r in lookalike.alike_pairs(df).collect()} == {(0, 1)}
+
+
+def test_classes_count_what_is_alike_but_not_equal(spark):
+    texts = ["scope", "scоpe", "scope", "scopе", "other", None, " ​", " ", "​ ​"]
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["class"], r["n_links"]) for r in lookalike.alike_classes(df).collect()}
+    assert got == {0: (0, 2), 1: (0, 3), 2: (0, 2), 3: (0, 3), 4: (4, 0), 6: (6, 2), 7: (6, 2), 8: (6, 2)}
+    pairs = {tuple(r) for r in lookalike.alike_pairs(df, block=1).collect()}
+    assert pairs == {(0, 1), (0, 3), (1, 2), (1, 3), (2, 3), (6, 7), (6, 8), (7, 8)}
