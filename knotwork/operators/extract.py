@@ -48,9 +48,10 @@ def rule_mentions(docs: DataFrame, types: tuple[str, ...] = DEFAULT_TYPES, id_co
     return rows.mapInPandas(find, MENTION)
 
 
-ANCHORS = (6, 3, 1)  # a term is found over its first six, three or one characters
+ANCHORS = (16, 6, 3, 1)  # a term is found over its first 16, six, three or one characters
+FILTER_BITS = 20
 AHEAD = 128  # characters that a place takes along to be compared; longer terms are compared with the text itself
-MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(max(ANCHORS))]
+MIX = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(max(ANCHORS))]  # a polynomial in the characters
 PLACE = T.StructType([
     T.StructField("document_id", T.StringType()), T.StructField("start_pos", T.IntegerType()),
     T.StructField("anchor", T.StringType()), T.StructField("ahead", T.StringType()),
@@ -83,6 +84,10 @@ def _anchor_places(docs: DataFrame, anchors: DataFrame, most_anchors: int) -> Da
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
+        mask, maybe = np.uint64((1 << FILTER_BITS) - 1), {}
+        for n, hashes in (known or {}).items():
+            maybe[n] = np.zeros(1 << FILTER_BITS, dtype=bool)
+            maybe[n][(hashes & mask).astype(np.int64)] = True
         for pdf in batches:
             out = []
             for d, body in zip(pdf["document_id"], pdf["body"], strict=True):
@@ -91,8 +96,9 @@ def _anchor_places(docs: DataFrame, anchors: DataFrame, most_anchors: int) -> Da
                         at = range(max(0, len(body) - n + 1))
                     else:
                         h = _gram_hashes(body, n)
-                        i = np.minimum(np.searchsorted(known[n], h), len(known[n]) - 1)
-                        at = np.flatnonzero(known[n][i] == h)
+                        at = np.flatnonzero(maybe[n][(h & mask).astype(np.int64)])
+                        i = np.minimum(np.searchsorted(known[n], h[at]), len(known[n]) - 1)
+                        at = at[known[n][i] == h[at]]
                     out += [(d, int(i), body[i : i + n], body[i : i + AHEAD]) for i in at]
             yield pd.DataFrame(out, columns=PLACE.fieldNames())
 
@@ -108,15 +114,17 @@ def gazetteer_mentions(docs: DataFrame, terms: DataFrame, id_col: str = "documen
     """
     terms = terms.select("text", "type").where((F.col("text") != "") & F.col("type").isNotNull()).distinct()
     n = F.length("text")
-    first = F.when(n >= ANCHORS[0], ANCHORS[0]).when(n >= ANCHORS[1], ANCHORS[1]).otherwise(ANCHORS[2])
+    first = F.greatest(*[F.when(n >= a, a).otherwise(ANCHORS[-1]) for a in ANCHORS])
     terms = staged(terms.select("text", "type", F.substring("text", F.lit(1), first).alias("anchor"), n.alias("n")), "terms")
     docs = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col("text").alias("body")).where(F.length("text") > 0)
     met = _anchor_places(docs, terms.select("anchor").distinct(), most_anchors).join(terms, "anchor")
     columns = ["document_id", "text", "type", "start_pos", (F.col("start_pos") + F.col("n")).cast("int").alias("end_pos")]
-    found = met.where((F.col("n") <= AHEAD) & F.startswith("ahead", "text"))
+    found = met.where((F.col("n") <= AHEAD) & F.startswith("ahead", "text")).select(*columns)
+    if (terms.agg(F.max("n")).first()[0] or 0) <= AHEAD:
+        return found
     long = met.where((F.col("n") > AHEAD) & F.startswith("text", "ahead")).join(docs, "document_id")
     long = long.where(F.substring("body", F.col("start_pos") + 1, F.col("n")) == F.col("text"))
-    return found.select(*columns).unionByName(long.select(*columns))
+    return found.unionByName(long.select(*columns))
 
 
 REPLY = "array<struct<text:string,type:string,start_pos:string,end_pos:string>>"
