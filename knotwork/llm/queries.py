@@ -94,6 +94,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p4_found": """
+        WITH v AS (
+          SELECT vec_id, any_value(embedding::DOUBLE[]) AS e FROM chunk_vectors
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+          GROUP BY vec_id),
+        s AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+        SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM k WHERE c >= 0.80""",
     "p4_queries": """
         WITH v AS (
           SELECT vec_id, any_value(embedding::DOUBLE[]) AS e FROM chunk_vectors
