@@ -366,7 +366,7 @@ def child_rows(records: DataFrame, key: str) -> DataFrame:
     """The flat tables of all patterns in long form: one row per field of an object and per other array element.
 
     ``field`` is null for elements that are no objects and for objects without fields;
-    ``value`` is text, null for a JSON null and for a container, whose content has rows of its own. Keys are those of ``child_records``.
+    ``value`` is text (numbers without trailing zeros), null for a JSON null and for a container, whose content has rows of its own. Keys are those of ``child_records``.
     """
     m = F.expr("try_cast(value as map<string, variant>)")
     rows = records.select("record_key", "parent_key", key, "path", "ordinal", m.alias("m"), "value").select(

@@ -124,7 +124,7 @@ ORACLE = {
     "p5_children": f"""
         WITH RECURSIVE {_UNFOLDED}, {_PARTS}
         SELECT md5(node_id || '|' || path) AS record_key, CASE WHEN path <> 'metadata' THEN md5(node_id || '|' || coalesce(parent, 'metadata')) END AS parent_key,
-          node_id, path, pattern, ordinal, field, CASE WHEN ft NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN fv ->> '$' END AS value FROM parts""",
+          node_id, path, pattern, ordinal, field, CASE WHEN ft = 'DOUBLE' THEN regexp_replace(regexp_replace(fv ->> '$', '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') WHEN ft NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN fv ->> '$' END AS value FROM parts""",
     "p5_spans": f"""
         WITH RECURSIVE {_UNFOLDED}, {_PARTS}, s AS (SELECT DISTINCT node_id, path, parent, ordinal, v FROM parts WHERE pattern = 'metadata.sources[].spans[]' AND t = 'OBJECT')
         SELECT md5(node_id || '|' || path) AS record_key, md5(node_id || '|' || coalesce(parent, 'metadata')) AS parent_key, node_id, path, ordinal,
