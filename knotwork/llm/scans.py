@@ -267,6 +267,43 @@ def clean_words(page: DataFrame) -> DataFrame:
     return words.where(F.col("word").rlike(r"^\p{Ll}[\p{Ll}\p{M}]*(-\p{Ll}+)*$") & ~F.col("word").rlike(r"\p{IsThai}")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Automaton:
+    """The Levenshtein automaton of all words at once, for one greatest distance.
+
+    After j letters of a candidate only the distances to the prefixes of j - most to j + most
+    letters of the word can be within the limit. A state holds these 2 * most + 1 distances,
+    greater ones as most + 1; its input says which letters of the word under the band equal
+    the next letter of the candidate. So states and inputs know neither the word nor the
+    place in it, there are few of both, and each transition is computed once for all words.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.band = most, (1 << 2 * most + 1) - 1
+        self.start = tuple(min(abs(i), most + 1) if i >= 0 else most + 1 for i in range(-most, most + 1))
+        self.table: dict[tuple[tuple[int, ...], int], tuple[int, ...] | None] = {}
+
+    def step(self, state: tuple[int, ...], equal: int) -> tuple[int, ...] | None:
+        """The state after one more letter, None if nothing is within the limit any more."""
+        try:
+            return self.table[state, equal]
+        except KeyError:
+            row: list[int] = []
+            for i, d in enumerate(state):
+                best = d + (not equal >> i & 1)
+                if i + 1 < len(state):
+                    best = min(best, state[i + 1] + 1)
+                if row:
+                    best = min(best, row[-1] + 1)
+                row.append(min(best, self.most + 1))
+            to = self.table[state, equal] = tuple(row) if min(row) <= self.most else None
+            return to
+
+
+@lru_cache
+def automaton(most: int) -> Automaton:
+    return Automaton(most)
+
+
 class Trie:
     """A vocabulary as a trie, walked by a Levenshtein automaton."""
 
@@ -281,22 +318,24 @@ class Trie:
     def within(self, word: str, most: int) -> list[tuple[str, int]]:
         """Every word of the vocabulary at most ``most`` edits away, with its count.
 
-        The automaton's state is the row of distances of all prefixes of ``word``; a branch
-        is left when no entry of the row is within the limit.
+        Branch and automaton go on letter by letter; a branch is left where the automaton ends.
         """
-        out, stack = [], [(self.root, list(range(len(word) + 1)))]
+        auto = automaton(most)
+        places: dict[str, int] = {}
+        for i, c in enumerate(word, most):
+            places[c] = places.get(c, 0) | 1 << i
+        out, stack = [], [(self.root, auto.start, 0)]
         while stack:
-            node, row = stack.pop()
+            node, state, depth = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= most:
+                    end = len(word) - depth + most
+                    if 0 <= end < len(state) and state[end] <= most:
                         out.append(child)
                     continue
-                nxt = [row[0] + 1]
-                for i, x in enumerate(word):
-                    nxt.append(min(nxt[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(nxt) <= most:
-                    stack.append((child, nxt))
+                to = auto.step(state, places.get(c, 0) >> depth & auto.band)
+                if to is not None:
+                    stack.append((child, to, depth + 1))
         return out
 
 

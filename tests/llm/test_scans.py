@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -108,3 +109,22 @@ def test_automaton_finds_every_word_within_reach(word):
 ])
 def test_page_numbers(line, is_number):
     assert scans.is_page_number(line) == is_number
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_automaton_gives_every_word_within_reach():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
+    vocabulary = sorted({word() for _ in range(300)} | {"a" * 70, "a" * 35 + "b" * 35})
+    trie = scans.Trie([(w, 1) for w in vocabulary])
+    for most in range(4):
+        for asked in [word() for _ in range(60)] + ["a" * 68, "a" * 36 + "b" * 34]:
+            assert sorted(w for w, _ in trie.within(asked, most)) == [w for w in vocabulary if edits(asked, w) <= most]
