@@ -11,9 +11,10 @@ Which rows share a tile is decided in one of two ways:
 
 * ``similar_vectors``: ``tables`` independent clusterings, each fitted on a bounded sample
   (at most ``MAX_CELLS * SAMPLE_PER_CELL`` rows); every row is indexed in its ``probes``
-  nearest cells of each. Work grows with the rows, not with their square, up to
-  ``MAX_CELLS * cell_rows`` rows; cells that hold more than ``block_rows`` rows are split
-  into blocks and all pairs of blocks are multiplied, so nothing is cut.
+  nearest cells of each, beyond ``MAX_CELLS * cell_rows`` rows in the ``probes`` nearest
+  directions inside each of them. So cells keep their size and work grows with the rows;
+  cells that still hold more than ``block_rows`` rows are split into blocks and all pairs of
+  blocks are multiplied, so nothing is cut.
 * ``similar_to_queries``: a stated query set against all rows in blocks, exact; the last
   candidates are ranked by the full vectors.
 """
@@ -245,39 +246,71 @@ def nearest_cells(x: np.ndarray, centroids: np.ndarray, m: int) -> np.ndarray:
     return np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(x), 1))
 
 
-def fit_cells(
-    rows: DataFrame, n_rows: int, dim: int, tables: int, cell_rows: int, probes: int, seed: int = 7
-) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids (tables, cells, dim) of spherical k-means over a bounded sample of the rows.
+def centred(part: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 3) -> np.ndarray:
+    """``n`` centroids of spherical k-means over the unit vectors ``part``."""
+    c = part[rng.permutation(len(part))[:n]].copy()
+    if len(c) < n:
+        c = np.resize(c, (n, part.shape[1]))
+    for _ in range(rounds):
+        near = np.concatenate([(part[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(part), 4096)])
+        total = np.zeros_like(c)
+        np.add.at(total, near, part)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-9), c)
+    return c.astype(np.float32)
+
+
+def offsets(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The directions in which the rows lie from their centroids."""
+    d = x - centre
+    return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
+
 
-    Also the rows to be expected in every cell, by which large cells are split; the split
-    only sets the size of the tiles, never what they find.
+def cells_of(x: np.ndarray, coarse: np.ndarray, fine: np.ndarray, probes: int) -> np.ndarray:
+    """The cells of every row: its nearest coarse cells, in each of them the nearest directions."""
+    near = nearest_cells(x, coarse, min(probes, len(coarse)))
+    if len(fine) == 1:
+        return near.astype(np.int64)
+    m = min(probes, len(fine))
+    return np.concatenate([c[:, None] * len(fine) + nearest_cells(offsets(x, coarse[c]), fine, m) for c in near.T.astype(np.int64)], axis=1)
+
+
+def fit_cells(
+    rows: DataFrame, n_rows: int, dim: int, tables: int, cell_rows: int, probes: int, max_cells: int = MAX_CELLS, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coarse (tables, cells, dim) and fine (tables, directions, dim) centroids, fitted on a bounded sample.
+
+    Up to ``max_cells * cell_rows`` rows there is one direction. Beyond, the coarse cells stay
+    ``max_cells`` and each is divided by the directions of its rows from its centroid, which
+    all cells of a table share; so cells keep their size up to ``max_cells`` squared cells and
+    what the driver holds does not grow.
+    Also the cells (numbered over all tables) and the rows to be expected in them, by which
+    large cells are split; the split only sets the size of the tiles, never what they find.
     """
-    n_cells = int(min(MAX_CELLS, max(1, math.ceil(n_rows / cell_rows))))
+    n_cells = int(min(max_cells, max(1, math.ceil(n_rows / cell_rows))))
+    n_fine = int(min(max_cells, max(1, math.ceil(n_rows / (cell_rows * max_cells)))))
     want = n_cells * SAMPLE_PER_CELL * 2
     share = min(1.0, 1.2 * want / max(1, n_rows))
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = _coded(picked).orderBy("vec_id").limit(want).toPandas()
+    none = np.zeros(0, dtype=np.int64)
     if not len(sample):
-        return np.zeros((tables, 1, dim), dtype=np.float32), np.zeros(tables)
+        return np.zeros((tables, 1, dim), dtype=np.float32), np.zeros((tables, 1, dim), dtype=np.float32), none, none
     _, codes, scales = _unpack(sample)
     m = codes.astype(np.float32) * scales[:, None]
-    rng, out, sizes = np.random.default_rng(seed), [], []
-    for _ in range(tables):
+    rng, coarse, fine, held = np.random.default_rng(seed), [], [], []
+    for t in range(tables):
         part = m[rng.permutation(len(m))[: max(1, len(m) // 2)]]
-        c = part[rng.permutation(len(part))[:n_cells]].copy()
-        if len(c) < n_cells:
-            c = np.resize(c, (n_cells, dim))
-        for _ in range(3):
-            near = np.concatenate([(part[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(part), 4096)])
-            total = np.zeros_like(c)
-            np.add.at(total, near, part)
-            norm = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(norm > 0, total / np.maximum(norm, 1e-9), c)
-        out.append(c.astype(np.float32))
-        near = nearest_cells(m, out[-1], min(probes, n_cells))
-        sizes.append(np.bincount(near.ravel(), minlength=n_cells) * (n_rows / len(m)))
-    return np.stack(out), np.concatenate(sizes)
+        coarse.append(centred(part, n_cells, rng))
+        if n_fine > 1:
+            home = np.concatenate([nearest_cells(part[i : i + 4096], coarse[t], 1)[:, 0] for i in range(0, len(part), 4096)])
+            fine.append(centred(offsets(part, coarse[t][home]), n_fine, rng))
+        else:
+            fine.append(np.zeros((1, dim), dtype=np.float32))
+        near = [cells_of(m[i : i + 4096], coarse[t], fine[t], probes) for i in range(0, len(m), 4096)]
+        held.append(np.concatenate(near).ravel() + t * n_cells * n_fine)
+    cells, n = np.unique(np.concatenate(held), return_counts=True)
+    return np.stack(coarse), np.stack(fine), cells, np.ceil(n * (n_rows / len(m))).astype(np.int64)
 
 
 def similar_vectors(
@@ -290,6 +323,7 @@ def similar_vectors(
     probes: int = 2,
     cell_rows: int = 512,
     block_rows: int = 4096,
+    max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """(x, y, cosine, rank): the k vectors of greatest cosine to every usable vector.
 
@@ -303,41 +337,36 @@ def similar_vectors(
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dim))
     n_rows = vectors.count()
     rows, links = single_rows(rows, k)
-    cells, expected = fit_cells(rows, n_rows, dim, tables, cell_rows, probes)
-    shared = spark.sparkContext.broadcast(cells)
-    m = min(probes, cells.shape[1])
-    schema = T.StructType([*CODED.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    coarse, fine, cells, expected = fit_cells(rows, n_rows, dim, tables, cell_rows, probes, max_cells)
+    large = expected > block_rows
+    shared = spark.sparkContext.broadcast((coarse, fine, cells[large], -(-expected[large] // block_rows)))
+    schema = T.StructType([*CODED.fields, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("blocks", T.ArrayType(T.LongType()))])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
+        coarse, fine, split, parts = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
             codes, scales = quantise(np.stack(pdf["embedding"].to_numpy()))
             x = codes.astype(np.float32) * scales[:, None]
-            near = []
-            for t in range(len(c)):
-                near.append(nearest_cells(x, c[t], m) + t * c.shape[1])
+            per_table = coarse.shape[1] * fine.shape[1]
+            at = np.concatenate([cells_of(x, coarse[t], fine[t], probes) + t * per_table for t in range(len(coarse))], axis=1)
+            blocks = np.ones_like(at)
+            if len(split):
+                hit = np.minimum(np.searchsorted(split, at), len(split) - 1)
+                blocks = np.where(split[hit] == at, parts[hit], 1)
             yield pd.DataFrame({
-                "vec_id": pdf["vec_id"], "code": [v.tobytes() for v in codes], "scale": scales,
-                "cells": list(np.concatenate(near, axis=1).astype(np.int32)),
+                "vec_id": pdf["vec_id"], "code": [v.tobytes() for v in codes], "scale": scales, "cells": list(at), "blocks": list(blocks),
             })
 
     error = cosine_error(dim)
     least = None if min_cosine is None else min_cosine - error
     placed = rows.mapInPandas(place, schema)
-    sizes = {int(c): math.ceil(expected[c] / block_rows) for c in np.flatnonzero(expected > block_rows)}
-    member = placed.select("vec_id", "code", "scale", F.explode("cells").alias("cell"))
-    if sizes:
-        blocks = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(n))])
-        n_blocks = F.coalesce(blocks[F.col("cell")], F.lit(1))
-        own = F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")
-        member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        pair = F.array(F.least("own", "other"), F.greatest("own", "other"))
-        member = member.withColumn("pair", pair)
-    else:
-        member = member.withColumn("own", F.lit(0)).withColumn("pair", F.array(F.lit(0), F.lit(0)))
-    member = member.select("vec_id", "code", "scale", "own", "cell", F.col("pair")[0].alias("i"), F.col("pair")[1].alias("j"))
+    member = placed.select("vec_id", "code", "scale", F.explode(F.arrays_zip("cells", "blocks")).alias("c"))
+    member = member.select("vec_id", "code", "scale", F.col("c.cells").alias("cell"), F.col("c.blocks").alias("blocks"))
+    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    member = member.select("vec_id", "code", "scale", "own", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("vec_id")

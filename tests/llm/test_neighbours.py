@@ -52,6 +52,16 @@ def test_recall_with_many_cells(spark):
     assert len(got & want) / len(want) > 0.95
 
 
+def test_recall_where_cells_are_divided_by_directions(spark):
+    rows = vectors(2000, dim=16)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 3, 0.8)
+    got = found(neighbours.similar_vectors(df, 3, 0.8, dim=16, cell_rows=64, max_cells=8))
+    assert len(got & want) / len(want) > 0.95
+    split = neighbours.similar_vectors(df, 3, 0.8, dim=16, cell_rows=64, max_cells=8, block_rows=40)
+    assert found(split) == got
+
+
 def test_queries_against_all_rows(spark):
     rows = vectors(200)
     df = spark.createDataFrame(rows, SCHEMA)
