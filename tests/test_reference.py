@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import os
 import re
 import uuid
 
@@ -12,6 +13,7 @@ from knotwork.functions import text as X
 from knotwork.functions import vectors as V
 from knotwork.operators import edges as E
 from knotwork.operators import extract, graph, relate, resolve, retrieval, rules
+from knotwork.runtime import staged, unstage
 
 MENTIONS = "document_id string, text string, type string, start_pos int, end_pos int"
 # Mentions whose relations are known.
@@ -216,6 +218,49 @@ def test_graph(spark):
     assert s["nodes"] == 6 and s["edges"] == 5 and round(s["average_degree"], 4) == round(10 / 6, 4)
 
 
+def test_ego_network_at_a_hub(spark):
+    """Every second leaf of a hub is a centre: no edge may be looked up in all the networks that hold the hub."""
+    leaves = [f"n{i:03}" for i in range(120)]
+    pairs = [("hub", x) for x in leaves] + [(leaves[i], leaves[i + 1]) for i in range(0, 120, 3)] + [(leaves[i], "hub") for i in range(5)] + [("n001", "n001")]
+    e = edges_of(spark, [(a, b, "R", 0.9, False) for a, b in pairs])
+    n = nodes_of(spark, [(x, x.upper(), "T") for x in ["hub", *leaves]])
+    centres = leaves[::2]
+    near, inside = graph.ego_network(e, n, spark.createDataFrame([(x,) for x in centres], "node_id string"), 2, 0.5, 10)
+    beside = {x: sorted({b for a, b in pairs if a == x} | {a for a, b in pairs if b == x}) for x in ["hub", *leaves]}
+    want = {}
+    for c in centres:
+        hop = {c: 0}
+        for h in (1, 2):
+            for x in [v for v, k in hop.items() if k == h - 1]:
+                for y in beside[x]:
+                    hop.setdefault(y, h)
+        want[c] = dict(sorted(hop.items(), key=lambda x: (x[1], x[0]))[:10])
+    got = near.select("start", "node_id", "hop").collect()
+    assert sorted((r["start"], r["node_id"], r["hop"]) for r in got) == sorted((c, v, h) for c, w in want.items() for v, h in w.items())
+    edges = sorted((r["start"], r["source_id"], r["target_id"]) for r in inside.collect())
+    assert edges == sorted((c, a, b) for c, w in want.items() for a, b in pairs if a in w and b in w)
+    few = near.select("start", "node_id")
+    looked_up = graph.keyed_edges(e, few).join(few.withColumnRenamed("node_id", "key"), "key").count()
+    assert looked_up <= 2 * len(edges) < sum(len(beside["hub"]) for _ in centres)
+
+
+def test_lean_staging_leaves_no_shuffle_files(spark):
+    shuffled = spark.range(1000).selectExpr("id", "id % 7 as k").groupBy("k").count()
+    managers = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return set(re.findall(r"shuffle_\w+", managers.getAllBlocks().mkString(" ")))
+
+    before = files()
+    shuffled.collect()
+    assert files() - before
+    before = files()
+    kept = staged(shuffled, "lean", lean=True)
+    assert not files() - before and kept.count() == 7
+    unstage(kept)
+    assert not os.path.exists(kept._staged_at.removeprefix("file://"))
+
+
 def test_links(spark):
     n = spark.createDataFrame([("n", [("d", p, p + 1) for p in (0, 799, 800, 1799, 1800)])], "node_id string, contexts array<struct<document string, start_pos int, end_pos int>>")
     c = spark.createDataFrame([("d", i) for i in range(3)], "document_id string, chunk_index int")
