@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,24 @@ def test_doubtful_places_are_settled_by_the_float_vectors(spark):
     candidates = spark.createDataFrame([(i, [int(j) for j in range(40) if j != i], [1.0] * 39, False) for i in range(40)], neighbours.MERGED)
     best = {(r["x"], r["rank"]): r["y"] for r in neighbours.settled(candidates, df, 3, None).collect()}
     assert best == {(i, n): int(j) for i in range(40) for n, j in enumerate(np.lexsort((np.arange(40), -s[i]))[:3], 1)}
+
+
+def test_the_sample_of_the_fit_stays_off_the_driver(spark, monkeypatch):
+    rows = vectors(500, dim=16)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    codes, scales = neighbours.quantise(np.array([r[1] for r in rows], dtype=np.float32))
+    want = neighbours.fitted(codes, scales, 2, 8, 2, 2, 7)
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("gathered on the driver"))
+    coarse, fine, cells, expected = neighbours.fit_cells(df, len(rows), 16, 2, 40, 2, max_cells=8)
+    assert all(np.array_equal(a, b) for a, b in zip((coarse, fine, cells, expected), want, strict=True))
+    large = neighbours.fit_cells(df, len(rows), 16, 2, 40, 2, max_cells=8, above=100)
+    assert set(zip(*large[2:], strict=True)) == {(c, n) for c, n in zip(cells, expected, strict=True) if n > 100}
+
+
+def test_the_fit_holds_few_products_at_once():
+    codes, scales = neighbours.quantise(np.random.default_rng(5).normal(size=(9000, 8)))
+    tracemalloc.start()
+    neighbours.fitted(codes, scales, 1, 4096, 2, 2, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
